@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,3 +53,49 @@ def words(c: Column) -> Column:
     """Array of the words of a text; empty for null or blank texts."""
     t = F.btrim(F.coalesce(c, F.lit("")), F.lit(WS))
     return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(F.split(t, WS_RE))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of executors that don't have it; once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidewell_shipped", False):
+        return
+    top = Path(__file__).resolve().parent.parent
+    path = Path(tempfile.mkdtemp(prefix="tidewell-")) / "tidewell_package.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(str(path))
+    sc._tidewell_shipped = True
+
+
+def map_rows(df: DataFrame, make, schema: str) -> DataFrame:
+    """Python over Arrow batches. `make()` runs once a task and gives a generator function from one row's
+    values (in the order of df's columns) to output tuples. Longs keep all bits beside nulls."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    spark_schema = _parse_datatype_string(schema)
+    ship(df.sparkSession)
+
+    def run(batches):
+        fn, out_schema = make(), to_arrow_schema(spark_schema)
+        rows, size = [], 0
+
+        def batch():
+            cols = zip(*rows) if rows else [()] * len(out_schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out_schema)], schema=out_schema)
+
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                for out in fn(*row):
+                    rows.append(out)
+                    size += sum(len(x) for x in out if isinstance(x, (bytes, str)))
+                    if len(rows) >= 4096 or size > 16_000_000:
+                        yield batch()
+                        rows, size = [], 0
+        if rows:
+            yield batch()
+
+    return df.mapInArrow(run, spark_schema)
