@@ -55,6 +55,12 @@ def words(c: Column) -> Column:
     return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(F.split(t, WS_RE))
 
 
+def with_text_key(df: DataFrame) -> DataFrame:
+    """df with c1, c2: 128 bits that stand for its text; null counts as empty."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return df.withColumns({"c1": F.xxhash64(text), "c2": F.xxhash64(F.lit("tidewell"), text)})
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers of executors that don't have it; once per application."""
     sc = spark.sparkContext

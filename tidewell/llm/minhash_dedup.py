@@ -287,6 +287,12 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
     )
 
 
+def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs without those that aren't the least of their component; all columns."""
+    gone = near_duplicates(docs, size, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+
+
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, words, written
+from .common import table, with_text_key, words, written
 
 BUCKETS = 1 << 15
 TARGET_DOCS = 50_000
@@ -141,6 +141,15 @@ def _scored(docs: DataFrame, labels: DataFrame, threshold: float, carry: list[st
     )
 
 
+def reject_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that are kept, with all their columns. The verdict depends on the text alone."""
+    named = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), "doc_id", "text")
+    keyed = with_text_key(named)
+    kept = _scored(keyed.select("doc_id", "text", "c1", "c2"), labels, threshold, ["c1", "c2"]).filter("kept")
+    out = keyed.join(kept.select("c1", "c2").distinct(), ["c1", "c2"], "left_semi")
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), THRESHOLD, ["doc_id"])
     return out.select(

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, table, written
+from .common import map_rows, table, with_text_key, written
 
 MIN_WORDS = 35
 MEMO_WORDS = 1_000_000
@@ -95,17 +95,12 @@ def factors(starts: np.ndarray, sources: np.ndarray, window: int) -> list[tuple[
     return [(int(starts[a]), int(starts[b] - starts[a]) + window, int(sources[a])) for a, b in zip(first, last)]
 
 
-def _with_key(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({"c1": F.xxhash64(text), "c2": F.xxhash64(F.lit("tidewell"), text)})
-
-
 def parsed(docs: DataFrame, window: int = MIN_WORDS, with_text: bool = False) -> DataFrame:
     """One row per different text: c1, c2 (its digest), n_words, n_removed, kept_sha256, kept_text (null unless asked
     for and changed), factors (first word, words, source) of texts that stand once."""
     run = (window + 1) // 2
     stretch = window - run + 1
-    keyed = _with_key(docs.select("text"))
+    keyed = with_text_key(docs.select("text"))
 
     def indexed():
         hasher = WordHasher()
@@ -218,13 +213,13 @@ def drop_repeats(docs: DataFrame, window: int = MIN_WORDS) -> DataFrame:
     """The same rows; where words were removed, text holds the others joined by one space."""
     found = parsed(docs, window, with_text=True).filter("n_removed > 0").select("c1", "c2", "kept_text")
     row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
-    out = _with_key(row).join(found, ["c1", "c2"], "left")
+    out = with_text_key(row).join(found, ["c1", "c2"], "left")
     return out.select(*[(F.coalesce("kept_text", "row.text") if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    keyed = _with_key(docs).select("doc_id", "c1", "c2")
+    keyed = with_text_key(docs).select("doc_id", "c1", "c2")
     return keyed.join(parsed(docs), ["c1", "c2"]).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
