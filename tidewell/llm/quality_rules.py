@@ -26,7 +26,9 @@ TARGET_DOCS = 50_000
 #: Weights are kept as multiples of 1 / SCALE.
 SCALE = 1 << 20
 #: Least mean log ratio of a kept document, in nats.
-THRESHOLD = -0.08
+THRESHOLD = -0.09
+#: Pseudo-count by which both multinomials are smoothed.
+PSEUDO = 5.0
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 _POS_BITS = 24
 
@@ -120,7 +122,9 @@ def bucket_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
     counts = written(counts, "gram-counts")
     raw, target = counts.agg(F.sum("raw"), F.sum("target")).first()
     raw, target = raw or 0, target or 0
-    ratio = F.log((F.col("target") + 1) / F.lit(float(target + BUCKETS))) - F.log((F.col("raw") + 1) / F.lit(float(raw + BUCKETS)))
+    # shrunk towards 0 where counts are small: target against its expectation under the raw multinomial
+    expected = F.col("raw") * F.lit(target / max(raw, 1))
+    ratio = F.log((F.col("target") + PSEUDO) / (expected + PSEUDO))
     return counts.select("bucket", F.round((ratio if target else F.lit(0.0)) * SCALE).cast("long").alias("weight"))
 
 
