@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, media, minhash_dedup, packing, quality_rules, substring_dedup, url_filters
+from . import bpe, chat, line_dedup, media, minhash_dedup, packing, quality_rules, substring_dedup, url_filters, warc
 
-_MODULES = [bpe, line_dedup, media, minhash_dedup, packing, quality_rules, substring_dedup, url_filters]
+_MODULES = [bpe, chat, line_dedup, media, minhash_dedup, packing, quality_rules, substring_dedup, url_filters, warc]
 
 
 def queries() -> dict:
