@@ -113,6 +113,13 @@ class LineRuns:
             batch = batch.join(run.hint("merge").select("h1", "h2"), ["h1", "h2"], "left_anti")
         return batch
 
+    def drop(self) -> None:
+        """Take the runs out of the catalog."""
+        for level in self.levels:
+            for t in level:
+                self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+        self.levels = [[]]
+
     def frequent(self, min_docs: int) -> DataFrame:
         return self._merged(self.runs()).filter(F.col("n_docs") >= min_docs)
 
@@ -135,6 +142,7 @@ def _drops(docs: DataFrame, min_chars: int, min_docs: int, batches: int) -> Data
     for b in range(batches):
         state.add(flat.filter(F.col("batch") == b))
     frequent = written(state.frequent(min_docs), "line-frequent")
+    state.drop()
     small = frequent.count() <= BROADCAST_ROWS
     hit = flat.join(F.broadcast(frequent) if small else frequent.hint("merge"), ["h1", "h2"])
     return (
