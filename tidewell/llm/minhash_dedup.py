@@ -39,6 +39,8 @@ BASE, RATE, TOP = 1.001, 20.0, 65535
 #: Log-likelihood that a pair may lose at the threshold against its best similarity before it is left out.
 SLACK = 18.0
 BLOCK_BYTES = 3_000_000
+#: Candidate ids (8 bytes each) up to which they are broadcast to the texts.
+BROADCAST_IDS = 1_000_000
 MEMO_WORDS = 1_000_000
 
 _U = np.uint64
@@ -129,15 +131,15 @@ def _sketched(docs: DataFrame, size: int) -> DataFrame:
         def run(doc_id, text):
             s = shingler(text)
             if not len(s) or doc_id is None:
-                yield doc_id, len(s), None, None, None
+                yield doc_id, len(s), None, None
                 return
             r = registers(s, seeds)
             bands = [xxhash.xxh64_intdigest(r[k * ROWS : k * ROWS + ROWS].tobytes(), k) - (1 << 63) for k in range(BANDS)]
-            yield doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), bands, r.tobytes()
+            yield doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), bands
 
         return run
 
-    return map_rows(docs, make, "doc_id long, n_shingles long, same binary, bands array<long>, registers binary")
+    return map_rows(docs, make, "doc_id long, n_shingles long, same binary, bands array<long>")
 
 
 def _confirmed(pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -190,9 +192,9 @@ def _blocks(rows: DataFrame, size: int, percent: int) -> DataFrame:
             return c
 
         def of(k):
-            s = sets.get(ids[k])
+            s = sets.get(k)
             if s is None:
-                s = sets[ids[k]] = shingler(expand.decompress(z[k]).decode("utf-8", "surrogatepass"))
+                s = sets[k] = shingler(expand.decompress(z[k]).decode("utf-8", "surrogatepass"))
             return s
 
         members = np.array([k for k in range(len(ids)) if not stray[k]], "i8")
@@ -245,17 +247,25 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
     flat = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = flat.groupBy("band", "key").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).filter("size > 1")
     stars = written(flat.join(buckets, ["band", "key"]).select("lead", "rep").filter("lead <> rep").distinct(), "stars")
-    nodes = stars.select(F.col("lead").alias("rep")).union(stars.select("rep")).distinct()
-    reg = seen.filter("same is not null").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "registers")
+    nodes = written(stars.select(F.col("lead").alias("rep")).union(stars.select("rep")).distinct(), "nodes")
+    if nodes.count() <= BROADCAST_IDS:  # else texts and sketches are shuffled to them
+        nodes = F.broadcast(nodes)
 
     def squeezed():
         import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=3)
-        return lambda rep, text, n, registers: iter([(rep, n, registers, squeeze.compress((text or "").encode("utf-8", "surrogatepass")))])
+        shingler, seeds, squeeze = Shingler(size), register_seeds(), zstandard.ZstdCompressor(level=3)
 
-    texts = docs.withColumnRenamed("doc_id", "rep").join(nodes, "rep", "left_semi").join(reg.join(nodes, "rep", "left_semi").dropDuplicates(["rep"]), "rep")
-    texts = written(map_rows(texts.select("rep", "text", "n", "registers"), squeezed, "rep long, n long, registers binary, z binary"), "texts")
+        def run(rep, text):
+            s = shingler(text)
+            if len(s):
+                yield rep, len(s), registers(s, seeds).tobytes(), squeeze.compress(text.encode("utf-8", "surrogatepass"))
+
+        return run
+
+    # sketched anew: only candidates need their registers, and rows that repeat an id have their own
+    texts = docs.withColumnRenamed("doc_id", "rep").join(nodes, "rep", "left_semi")
+    texts = written(map_rows(texts.select("rep", "text"), squeezed, "rep long, n long, registers binary, z binary"), "texts")
     side = lambda s: texts.select(*[F.col(c).alias(f"{d}_{s}" if d else s) for c, d in (("rep", ""), ("n", "n"), ("registers", "r"), ("z", "z"))])
     pairs = stars.select(F.col("lead").alias("a"), F.col("rep").alias("b")).join(side("a"), "a").join(side("b"), "b")
     pairs = pairs.select("a", "n_a", "r_a", "z_a", "b", "n_b", "r_b", "z_b")
@@ -290,6 +300,9 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs without those that aren't the least of their component; all columns."""
     gone = near_duplicates(docs, size, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    gone = written(gone, "gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
 
