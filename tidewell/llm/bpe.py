@@ -6,6 +6,8 @@ the number of words left of it, so a path adds up to the word's number, which se
 one flat buffer: a broadcast of bounded size (`LEXICON_WORDS` words) that each worker memory-maps. Words
 that it doesn't hold are merged exactly, pair by pair in rank order.
 
+No word crosses ASCII white space, so texts are split there first and each different token is looked up once per task.
+
 Defined cases
 * null or empty text: no tokens; the digests are those of the empty string.
 * repeated rows and null ids: every row is encoded by itself. Empty table: empty result.
@@ -182,26 +184,34 @@ def frequent_words(docs: DataFrame, path: str, limit: int = LEXICON_WORDS) -> li
     """The most frequent words of all documents; ties by word."""
 
     def counted(batches):
-        model, counts = WordBpe(path), Counter()
-        for pdf in batches:
-            for t in pdf["text"]:
+        model, tokens = WordBpe(path), Counter()
+
+        def counts():
+            words = Counter()
+            for token, n in tokens.items():
+                for w in model.pieces(token.decode("utf-8", "surrogatepass")):
+                    words[w] += n
+            return _counts(words)
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
                 if t:
-                    counts.update(model.pieces(t))
-            if len(counts) > 1_000_000:
-                yield _counts(counts)
-                counts = Counter()
-        yield _counts(counts)
+                    tokens.update(t.encode("utf-8", "surrogatepass").split())
+            if len(tokens) > 1_000_000:
+                yield counts()
+                tokens = Counter()
+        yield counts()
 
     ship(docs.sparkSession)
-    rows = docs.select("text").mapInPandas(counted, "word string, n long")
+    rows = docs.select("text").mapInArrow(counted, "word string, n long")
     top = rows.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(limit)
     return [r.word for r in top.collect() if r.word]
 
 
-def _counts(counts: Counter):
-    import pandas as pd
+def _counts(words: Counter):
+    import pyarrow as pa
 
-    return pd.DataFrame({"word": list(counts.keys()), "n": np.array(list(counts.values()), "int64")})
+    return pa.RecordBatch.from_pydict({"word": pa.array(words.keys(), pa.string()), "n": pa.array(words.values(), pa.int64())})
 
 
 def encode_documents(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
@@ -213,23 +223,38 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = True) -> DataF
     def make():
         model, known = WordBpe(path), Lexicon.mapped(lexicon.value)
 
-        class Memo(dict):
-            def __missing__(self, word):
-                if len(self) >= MEMO_WORDS:
-                    self.clear()
+        def ids_of(token: bytes) -> list[int]:
+            out = []
+            for word in model.pieces(token.decode("utf-8", "surrogatepass")):
                 ids = known.get(word)
-                if ids is None:
-                    ids = model.merge(word)
-                out = self[word] = (" ".join(map(str, ids)), model.decode(ids), ids)
-                return out
+                out += model.merge(word) if ids is None else ids
+            return out
+
+        silent = set()  # tokens without ids
+
+        class Shown(dict):
+            """What ids(token) looks like. A miss fills both views, so a token is looked up and merged once."""
+
+            def __missing__(self, token):
+                if len(self) >= MEMO_WORDS:
+                    shown.clear()
+                    decoded.clear()
+                ids = ids_of(token)
+                if not ids:
+                    silent.add(token)
+                shown[token], decoded[token] = " ".join(map(str, ids)), model.decode(ids)
+                return self[token]
 
-        memo = Memo()
+        shown, decoded = Shown(), Shown()
 
         def encoded(doc_id, text):
-            got = [x for w in model.pieces(text) if (x := memo[w])[2]] if text else []
-            shown, decoded = " ".join([x[0] for x in got]), " ".join([x[1] for x in got])
-            out = (doc_id, shown.count(" ") + 1 if shown else 0, hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-            yield (*out, [i for x in got for i in x[2]]) if with_ids else out
+            tokens = (text or "").encode("utf-8", "surrogatepass").split()
+            ids, back = list(map(shown.__getitem__, tokens)), list(map(decoded.__getitem__, tokens))
+            if silent:
+                ids, back = [x for x in ids if x], [x for x in back if x]
+            ids, back = " ".join(ids), " ".join(back)
+            out = (doc_id, ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
+            yield (*out, list(map(int, ids.split()))) if with_ids else out
 
         return encoded
 
