@@ -399,6 +399,24 @@ def test_chat_trees(spark, monkeypatch):
     assert chat.attention(tree.parent, tree.start, tree.length, 1) == [(0, tree.length[0]), (tree.start[1], tree.start[1] + tree.length[1])]
 
 
+def test_hot_first_turns_keep_sharing_later_ones(spark, monkeypatch):
+    monkeypatch.setattr(chat, "GROUP", 4)
+    said = {c: ["system", f"a{c // 4}", f"b{c // 2}", f"c{c}"] for c in range(63)}  # one hot turn, then groups of 4
+    said |= {100 + c: ["system", "hot", "hot too", f"d{c // 3}", f"e{c}"] for c in range(12)}  # a chain of hot turns
+    said |= {200 + c: ["system", "hot"] for c in range(9)} | {300 + c: ["system"] for c in range(3)}  # equal, and ended at a hot turn
+    said |= {None: ["system", "a15", "null id"], 400: ["another"], 401: ["another", "x"]}
+    rows = [(c, k, "user", t) for c, ts in said.items() for k, t in enumerate(ts)]
+    conversations = chat.conversations_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    trees = chat.build_trees(conversations).collect()
+    met = Counter(chat.parse_turn(t.text[a : a + n])[1] for t in trees for a, n in zip(t.start, t.length))
+    hot = {"system", "hot", "hot too"}
+    assert {t: n for t, n in met.items() if t not in hot} == {t: 1 for ts in said.values() for t in ts if t not in hot}
+    assert met["system"] <= 17 + 3 + 3 + 1 and met["hot"] <= 3 + 3 + 1 and met["hot too"] <= 3
+    assert Counter(c for t in trees for c in t.conv_ids) == Counter(list(said))
+    got = {r.conv_id: r.turns_sha256 for r in chat.read_trees(chat.build_trees(conversations)).collect()}
+    assert got == {c: sha("".join(f"user\n{t}\n" for t in ts)) for c, ts in said.items()}
+
+
 # tables without rows, and the pipeline
 
 

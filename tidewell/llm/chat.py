@@ -6,9 +6,11 @@ place of its characters, its position ids (the depth at which its characters sta
 intervals of the ancestors it may attend to, besides itself. A conversation's formatted text, its turns and
 its loss mask (assistant texts) are read back from these intervals alone.
 
-Trees are keyed by their first turn. A first turn shared by more than `GROUP` conversations is dealt out by the digest of
-the whole conversation, and a conversation repeated more than `GROUP` times by id, so no task gathers a hot tree;
-each part then holds its shared turns once.
+Trees are keyed by their first turn. Initial turns shared by more than `GROUP` conversations are hot: the conversations
+that follow them are dealt out by their next turn, and again by the one after where that is hot as well, so no task gathers
+a hot tree. Conversations that share more than the hot turns always meet in one part, which holds their shared turns once;
+the hot turns alone stand in every part below them, at most once for about `GROUP` conversations and once more for every
+hot turn that follows. Only equal conversations, more than `GROUP` of them, are dealt out by id.
 
 Escaping: in texts and roles a bar that follows `<` and any number of backslashes gets one backslash more, so no
 control string is left; in roles newlines and backslashes are escaped as well. Both are reversible.
@@ -33,6 +35,9 @@ START, END = "<|im_start|>", "<|im_end|>"
 ASSISTANT = "assistant"
 #: Conversations of a tree (part) beyond which it is dealt out further.
 GROUP = 256
+#: Hot initial turns (fewer than one for `GROUP` turns of input) up to which they are broadcast; beyond it, a skew-aware sort-merge join.
+BROADCAST_HOT = 1_000_000
+_MASK = (1 << 64) - 1
 _OPEN, _SHUT = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 
 
@@ -64,7 +69,7 @@ def parse_turn(formatted: str) -> tuple[str, str]:
 
 
 def conversations_of(rows: DataFrame) -> DataFrame:
-    """conv_id, turns (role, text in order), first (digest of the first turn), whole (digest of all)."""
+    """conv_id, turns (role, text in order), digests (one per turn)."""
     turns = F.transform(
         F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))
     )
@@ -72,27 +77,56 @@ def conversations_of(rows: DataFrame) -> DataFrame:
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
     out = rows.groupBy("conv_id").agg(turns.alias("turns"))
-    first = F.get("turns", F.lit(0))
-    return out.withColumns({
-        "first": F.sha2(F.concat_ws("\n", first["role"], first["text"]), 256),
-        "whole": F.sha2(F.to_json("turns"), 256),
-    })
+    return out.withColumn("digests", F.transform("turns", lambda x: F.xxhash64(x["role"], x["text"])))
+
+
+def _prefixes(conversations: DataFrame) -> DataFrame:
+    """conv_id, depth, key and up (digests of the first `depth` turns and of one less); the end counts as a turn.
+    Keys only say who meets in a part: trees are grown by the turns themselves, so digests that clash do no harm."""
+
+    def make():
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+        def run(conv_id, digests):
+            up = 0
+            for depth, digest in enumerate([*digests, None]):
+                key = ((up ^ (0x5851F42D4C957F2D if digest is None else digest & _MASK)) * 0x9E3779B97F4A7C15 + 1) & _MASK
+                key ^= key >> 29
+                yield conv_id, depth, signed(key), signed(up)
+                up = key
+
+        return run
+
+    return map_rows(conversations.select("conv_id", "digests"), make, "conv_id long, depth long, key long, up long")
+
+
+def _parts(conversations: DataFrame) -> DataFrame:
+    """conv_id, root (digest of the longest hot initial turns, else of the first turn), part: one row per conversation."""
+    keys = written(_prefixes(conversations), "prefixes")
+    hot = written(keys.groupBy("key").agg(F.min("up").alias("up"), F.count("*").alias("n")).filter(F.col("n") > GROUP), "hot-prefixes")
+    below = hot.groupBy(F.col("up").alias("key")).agg(F.sum("n").alias("below"))
+    # conversations that follow no longer hot turns are those to deal out
+    own = hot.join(below, "key", "left").select("key", F.greatest(F.col("n") - F.coalesce("below", F.lit(0)), F.lit(1)).alias("own"))
+    own = F.broadcast(own) if hot.count() <= BROADCAST_HOT else own.hint("merge")
+    warm = F.col("own").isNotNull()
+    last = keys.join(own, "key", "left").groupBy("conv_id").agg(
+        F.max_by(F.struct("key", "own"), F.when(warm, F.col("depth"))).alias("hot"),
+        F.min_by("key", F.when(~warm, F.col("depth"))).alias("next"),  # none where the whole conversation is hot
+    )
+    dealt = F.pmod(F.xxhash64(F.coalesce("next", "conv_id")), F.ceil(F.col("hot.own") / GROUP))
+    return last.select("conv_id", F.coalesce("hot.key", "next").alias("root"), F.coalesce(dealt, F.lit(0)).alias("part"))
 
 
 def build_trees(conversations: DataFrame) -> DataFrame:
     """One row per tree (part): text, nodes (parent, start, length, position, loss), leaves (conv_id, node)."""
     ship(conversations.sparkSession)
-    keys = conversations.select("conv_id", "first", "whole")
-    parts = lambda n: F.ceil(F.col(n) / GROUP).cast("int")
-    of_first = keys.groupBy("first").agg(F.count("*").alias("n_first"))
-    of_whole = keys.groupBy("whole").agg(F.count("*").alias("n_whole"))
-    dealt = conversations.join(of_first, "first").join(of_whole, "whole").select(
+    parts = _parts(conversations).withColumnRenamed("conv_id", "id")
+    dealt = conversations.join(parts, F.col("conv_id").eqNullSafe(F.col("id"))).select(
         "conv_id",
         F.transform("turns", lambda x: x["role"]).alias("roles"),
         F.transform("turns", lambda x: x["text"]).alias("texts"),
-        "first",
-        F.pmod(F.xxhash64("whole"), parts("n_first")).alias("part"),
-        F.pmod(F.xxhash64("conv_id"), parts("n_whole")).alias("copy"),
+        "root",
+        "part",
     )
 
     def grow(group):
@@ -126,7 +160,7 @@ def build_trees(conversations: DataFrame) -> DataFrame:
         })
 
     arrays = ", ".join(f"{c} array<long>" for c in ("parent", "start", "length", "position", "loss", "conv_ids", "leaf"))
-    return dealt.groupBy("first", "part", "copy").applyInArrow(grow, f"text string, {arrays}")
+    return dealt.groupBy("root", "part").applyInArrow(grow, f"text string, {arrays}")
 
 
 def attention(parent: list[int], start: list[int], length: list[int], node: int) -> list[tuple[int, int]]:
