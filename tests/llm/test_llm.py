@@ -298,6 +298,16 @@ def test_bad_templates_are_blocked(spark):
     assert {(r[0], r.verdict, r["count"]) for r in got} == {(True, "block", 100), (False, "allow", 100)}
 
 
+def test_templates_reach_the_last_segment(spark):
+    kinds = ["en/2020/01/02/a/b/c/d/spam", "en/2020/01/02/a/b/c/d/news"]
+    rows = [(i, f"http://h.net/{kinds[i % 2]}/{i}", "", "") for i in range(200)] + [(200 + i, "http://h.net/" + "x/" * 300 + f"{200 + i}", "", "") for i in range(2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, tail string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = url_filters.filtered_urls(pages, labels).collect()
+    assert Counter((r.verdict, r.page_id % 2) for r in got if r.page_id < 200) == {("block", 0): 100, ("allow", 1): 100}
+    assert {r.template for r in got if r.page_id >= 200} == {"/*/*/"} and len(got) == 202
+
+
 # 8 archives
 
 

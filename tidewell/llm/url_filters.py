@@ -2,7 +2,8 @@
 
 Per host, urls are grown into templates one path segment at a time. Under a template a segment that is a number or a
 code (digits mixed in), or whose siblings are too many for their visits, becomes the wildcard `*`; rare branches are
-merged into it as well. Each template counts its urls and the labelled bad ones among them. Sibling branches whose bad
+merged into it as well. Where fewer urls go on than a branch needs, they make one last wildcard; else paths are grown to
+their last segment. Each template counts its urls and the labelled bad ones among them. Sibling branches whose bad
 shares don't differ by more than their standard error allows are merged statistically: the child takes its parent's counts. A url is
 blocked by its deepest template whose share of bad labels, smoothed towards the share of all labels, reaches the
 threshold; everything else is allowed.
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table, written
+from .common import ascii_lower, fresh_path, table, written
 
 #: The rules of the contract.
 RULES = [
@@ -32,8 +33,6 @@ RULES = [
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 ]
-#: Segments looked at one by one; what follows is the tail and always a wildcard.
-DEPTH = 4
 #: A branch stays a segment of its own from so many urls and with at most so many siblings a hundred urls.
 MIN_BRANCH, MAX_SIBLINGS_PERCENT = 5, 20
 #: Smoothing weight (in labelled urls), blocking threshold, and standard errors by which siblings must differ.
@@ -60,7 +59,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 def _counted(rows: DataFrame, keys: list[str]) -> DataFrame:
     """urls, labelled and bad per key; salted, so that one host is counted in many tasks."""
-    salted = rows.groupBy(*keys, F.pmod(F.xxhash64("page_id", "tail"), F.lit(SALTS)).alias("salt"))
+    salted = rows.groupBy(*keys, F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).alias("salt"))
     part = salted.agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.sum(F.coalesce("bad", F.lit(0))).alias("bads"))
     return part.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bads")))
 
@@ -75,39 +74,48 @@ def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
     rows = pages.select("page_id", host.alias("host"), path.alias("path"), F.when(number != "", number.cast("long")).alias("label_id"))
     rows = rows.join(marks, "label_id", "left").drop("label_id")
     segments = F.filter(F.split("path", "/", -1), lambda x: x != "")
-    rows = rows.withColumn("segments", segments).withColumn("template", F.lit("/")).withColumn(
-        "tail", F.array_join(F.slice("segments", DEPTH + 1, 1 << 30), "/")
-    )
+    rows = rows.withColumn("segments", segments).withColumn("template", F.lit("/"))
     rows = written(rows, "urls")
     everything = rows.agg(F.count("bad"), F.sum("bad")).first()
     share = (everything[1] or 0) / everything[0] if everything[0] else 0.0
     top = _counted(rows, ["host"]).select("host", "labelled", "bads")
-    rows = rows.join(top, "host").withColumn("own", F.lit("/"))
-    for depth in range(DEPTH):
+    rows = rows.join(top, "host").withColumns({"own": F.lit("/"), "finished": F.size("segments") == 0})
+    spark, depth, paths = pages.sparkSession, 0, []
+    while True:
+        # one write a level: the plans stay small however deep the paths are
+        paths.append(fresh_path(spark, "urls"))
+        rows.write.option("compression", "zstd").parquet(paths[-1])
+        reader = spark.read.schema(rows.schema)
+        rows = reader.parquet(paths[-1]).filter("not finished")
+        if rows.isEmpty():
+            break
         seg = F.get("segments", F.lit(depth))
         code = seg.rlike(r"[0-9]") | (F.length(seg) > 40)
         rows = rows.withColumn("seg", F.when(code, F.regexp_replace(seg, r"^[^.]*", "*")).otherwise(seg))
-        counts = _counted(rows.filter("seg is not null"), ["host", "template", "seg"]).withColumnRenamed("labelled", "l").withColumnRenamed("bads", "b")
+        counts = _counted(rows, ["host", "template", "seg"]).withColumnRenamed("labelled", "l").withColumnRenamed("bads", "b")
         family = counts.groupBy("host", "template").agg(F.count("*").alias("siblings"), F.sum("n").alias("visits"))
         counts = counts.join(family, ["host", "template"])
         variable = (F.col("n") < MIN_BRANCH) | (100 * F.col("siblings") > MAX_SIBLINGS_PERCENT * F.col("visits"))
         counts = counts.withColumn("to", F.when(variable, F.lit("*")).otherwise(F.col("seg")))
         merged = counts.groupBy("host", "template", "to").agg(F.sum("l").alias("l"), F.sum("b").alias("b"))
-        named = counts.select("host", "template", "seg", "to").join(merged, ["host", "template", "to"])
+        named = counts.select("host", "template", "seg", "to", "visits").join(merged, ["host", "template", "to"])
         named = written(named, "branches")
-        rows = rows.join(named, ["host", "template", "seg"], "left")
-        next_ = F.when(F.col("to").isNull(), F.col("template")).otherwise(F.concat("template", "to", F.lit("/")))
+        rows = rows.join(named, ["host", "template", "seg"])
+        next_ = F.concat("template", "to", F.lit("/"))
         # a branch keeps its own counts only where its bad share differs from its parent's
         p0 = (F.col("bads") + PRIOR * share) / (F.col("labelled") + PRIOR)
         p1 = (F.col("b") + PRIOR * p0) / (F.col("l") + PRIOR)
         differs = F.coalesce(F.abs(p1 - p0) > Z * F.sqrt(p0 * (1 - p0) / (F.col("l") + PRIOR)), F.lit(False))
         rows = rows.select(
-            "page_id", "host", "path", "bad", "segments", "tail",
+            "page_id", "host", "path", "bad", "segments",
             next_.alias("template"),
             F.when(differs, F.col("l")).otherwise(F.col("labelled")).alias("labelled"),
             F.when(differs, F.col("b")).otherwise(F.col("bads")).alias("bads"),
             F.when(differs, next_).otherwise(F.col("own")).alias("own"),
+            ((F.size("segments") <= depth + 1) | (F.col("visits") < MIN_BRANCH)).alias("finished"),
         )
+        depth += 1
+    rows = reader.parquet(*paths).filter("finished")
     purity = (F.col("bads") + PRIOR * share) / (F.col("labelled") + PRIOR)
     return rows.select(
         "page_id", "host", "path", "template", F.col("own").alias("decided_by"), purity.alias("bad_share"),
