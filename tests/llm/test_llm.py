@@ -308,6 +308,16 @@ def test_templates_reach_the_last_segment(spark):
     assert {r.template for r in got if r.page_id >= 200} == {"/*/*/"} and len(got) == 202
 
 
+@pytest.mark.parametrize("slugs", [900, 1100])
+def test_a_tail_of_rare_siblings_leaves_hot_branches_alone(spark, slugs):
+    word = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    rows = [(i, f"http://h.net/spam/{i}", "", "") for i in range(1000)] + [(1000 + i, f"http://h.net/{word(i)}/{1000 + i}", "", "") for i in range(slugs)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, tail string")
+    labels = spark.createDataFrame([(i, int(i >= 1000), 0) for i in range(1000 + slugs)], "doc_id long, quality int, toxic int")
+    got = Counter((r.verdict, r.page_id < 1000) for r in url_filters.filtered_urls(pages, labels).collect())
+    assert got == {("block", True): 1000, ("allow", False): slugs}
+
+
 # 8 archives
 
 

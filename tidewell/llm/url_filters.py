@@ -1,8 +1,8 @@
 """URL filters: host rules first, then a tree of path templates (DataFrame functions only).
 
 Per host, urls are grown into templates one path segment at a time. Under a template a segment that is a number or a
-code (digits mixed in), or whose siblings are too many for their visits, becomes the wildcard `*`; rare branches are
-merged into it as well. Where fewer urls go on than a branch needs, they make one last wildcard; else paths are grown to
+code (digits mixed in) becomes the wildcard `*`; rare branches are merged into it, whatever the number of their siblings, and
+a branch with enough urls stays. Where fewer urls go on than a branch needs, they make one last wildcard; else paths are grown to
 their last segment. Each template counts its urls and the labelled bad ones among them. Sibling branches whose bad
 shares don't differ by more than their standard error allows are merged statistically: the child takes its parent's counts. A url is
 blocked by its deepest template whose share of bad labels, smoothed towards the share of all labels, reaches the
@@ -33,8 +33,8 @@ RULES = [
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 ]
-#: A branch stays a segment of its own from so many urls and with at most so many siblings a hundred urls.
-MIN_BRANCH, MAX_SIBLINGS_PERCENT = 5, 20
+#: A branch stays a segment of its own from so many urls.
+MIN_BRANCH = 5
 #: Smoothing weight (in labelled urls), blocking threshold, and standard errors by which siblings must differ.
 PRIOR, THRESHOLD, Z = 10.0, 0.5, 2.0
 SALTS = 32
@@ -93,10 +93,9 @@ def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
         code = seg.rlike(r"[0-9]") | (F.length(seg) > 40)
         rows = rows.withColumn("seg", F.when(code, F.regexp_replace(seg, r"^[^.]*", "*")).otherwise(seg))
         counts = _counted(rows, ["host", "template", "seg"]).withColumnRenamed("labelled", "l").withColumnRenamed("bads", "b")
-        family = counts.groupBy("host", "template").agg(F.count("*").alias("siblings"), F.sum("n").alias("visits"))
+        family = counts.groupBy("host", "template").agg(F.sum("n").alias("visits"))
         counts = counts.join(family, ["host", "template"])
-        variable = (F.col("n") < MIN_BRANCH) | (100 * F.col("siblings") > MAX_SIBLINGS_PERCENT * F.col("visits"))
-        counts = counts.withColumn("to", F.when(variable, F.lit("*")).otherwise(F.col("seg")))
+        counts = counts.withColumn("to", F.when(F.col("n") < MIN_BRANCH, F.lit("*")).otherwise(F.col("seg")))
         merged = counts.groupBy("host", "template", "to").agg(F.sum("l").alias("l"), F.sum("b").alias("b"))
         named = counts.select("host", "template", "seg", "to", "visits").join(merged, ["host", "template", "to"])
         named = written(named, "branches")
