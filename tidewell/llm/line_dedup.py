@@ -1,8 +1,9 @@
 """Line dedup over levelled sorted runs of line hashes (DataFrame functions only).
 
 State: a log-structured set of runs. A run is a table bucketed and sorted by line hash with one
-row (h1, h2, n_docs, last_doc) per key. Every batch of documents merge-anti-joins the runs for the
-keys it brings that are new, merge-joins them for those already known, and adds one run with both.
+row (h1, h2, n_docs, last_doc) per key. Every batch of documents is counted by itself and adds one run,
+without a look at the others; the runs are merge-joined when they are compacted and read. `LineRuns.unseen`,
+the merge-anti-join of a batch with the runs, is no step of the query: its totals need all batches first.
 When a level holds `fanout` runs they are merged into one run of the next level. Because every run is
 bucketed alike, these joins and merges read bucket against bucket without a shuffle of the state.
 
