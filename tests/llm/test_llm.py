@@ -84,6 +84,13 @@ def test_near_duplicates_on_awkward_rows(spark, odd):
     assert kept.columns == odd.columns and {1, 3, None} <= {r.doc_id for r in kept.collect()}
 
 
+def test_rows_that_repeat_an_id_join_their_components(spark):
+    a, b = (" ".join(f"{k}{i}" for i in range(80)) for k in "ab")
+    docs = [(3, a), (5, a), (5, b), (5, None), (7, b + " tail"), (9, "c " + LONG)]
+    rows = minhash_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in rows) == Counter([(3, 3, True), *[(5, 3, False)] * 3, (7, 3, False), (9, 9, True)])
+
+
 def test_chains_of_near_copies_keep_every_link(spark):
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(120)]

@@ -15,7 +15,7 @@ In both steps a pair whose registers make the threshold implausible under the jo
 Components come from alternating large-star and small-star steps on tables; nothing is gathered on the driver.
 
 Defined cases
-* null or blank text: empty set, linked with nothing, kept, its own component.
+* null or blank text: empty set, linked with nothing, kept, its own component (that of its id, if other rows repeat it).
 * fewer words than a shingle has: the whole sequence is the one shingle.
 * rows that repeat a doc_id are one document: their links add up; each row gets its own n_shingles.
 * rows without an id link with nothing; component_id is null and kept is true.
@@ -288,10 +288,16 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
     )
     rows = spread(open_.filter("stray"), "i", "rows", "j", "cols", True).unionByName(spread(open_, "j", "cols", "i", "rows", False))
     more = _blocks(rows, size, percent)
-    final = components(links.union(more))
+    # rows that repeat an id are one document, which joins the representatives of its sets
+    repeated = seen.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").select("doc_id")
+    repeated = written(repeated, "repeated-ids")
+    own = seen.join(repeated, "doc_id", "left_semi").join(reps.select("same", "rep"), "same").filter("rep <> doc_id")
+    final = written(components(links.union(more).union(own.select("rep", "doc_id").distinct())), "final")
+    of_id = repeated.join(final.withColumnRenamed("node", "doc_id"), "doc_id").select("doc_id", F.col("comp").alias("of_id"))
     of_set = reps.select("same", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("comp", "rep").alias("component"))
     out = seen.select("doc_id", "n_shingles", "same").join(of_set, "same", "left")
-    component = F.coalesce("component", "doc_id")
+    out = out.join(of_id, "doc_id", "left")
+    component = F.coalesce("component", "of_id", "doc_id")
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")
     )
