@@ -283,6 +283,36 @@ def test_substrings_against_brute_force(spark):
     assert result(df, df) == removed(docs)
 
 
+def test_greedy_factors_cover_just_the_repeated_windows():
+    rng = np.random.default_rng(11)
+    for trial in range(60):
+        word = lambda n: [b"%d" % x for x in rng.integers(0, 2 if trial % 3 else 40, n)]
+        text = word(120)
+        blocks = [(-1, word(20) + text[a : a + rng.integers(3, 40)] + word(9)) for a in rng.integers(0, 110, 6)] + [(40, text[40:90])]
+        found = substring_dedup.greedy_factors(text, blocks, substring_dedup.WordHasher(), 5)
+        gone = {at + k for at, n, _, _ in found for k in range(n)}
+        assert all(text[at : at + n] == blocks[b][1][t : t + n] and n >= 5 for at, n, b, t in found)
+        want = set()
+        for s in range(116):
+            if any(blocks[b][1][t : t + 5] == text[s : s + 5] and blocks[b][0] + t != s for b in range(7) for t in range(len(blocks[b][1]) - 4)):
+                want |= set(range(s, s + 5))
+        assert gone == want and [f[0] for f in found] == sorted(f[0] for f in found)
+
+
+def test_factors_name_their_source(spark):
+    shared = [f"s{i}" for i in range(300)]
+    docs = [(d, " ".join([f"d{d}_{i}" for i in range(50 + d)] + shared[10 * d :] + [f"e{d}_{i}" for i in range(9)])) for d in range(6)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert result(df, df) == removed(docs)
+    texts = {r.c1: (r.text.split(), r.c2) for r in substring_dedup.with_text_key(df).collect()}
+    rows = [r for r in substring_dedup.parsed(df).collect() if r.n_removed]
+    assert len(rows) == 6
+    for r in rows:
+        for at, n, source, place in r.factors:
+            assert (source, place) != (r.c1, at) and n >= 35
+            assert texts[r.c1][0][at : at + n] == texts[source][0][place : place + n]
+
+
 # 7 urls
 
 

@@ -1,20 +1,23 @@
-"""Substring dedup by relative Lempel-Ziv parsing over an index of the whole corpus.
+"""Substring dedup by greedy relative Lempel-Ziv parsing against an index of the whole corpus.
 
-Every text is a reference block. Its index entries are the winnowed hashes of its 18-word runs: in each stretch
-of 18 successive runs the least hash (the last of equals) is taken. A window of 35 words holds exactly one such stretch, so
-two equal windows share an entry at the same place and no repeated window can be missed. Entries found once in the
-corpus are dropped. Around the others every document is parsed against the index: each 35-word window (128-bit hash)
-points to the first place in the corpus with the same words, and successive windows that point to successive places
-grow into one factor copied from that block. A factor is long enough once it holds one window; windows that straddle
-a boundary between two factors are looked up like all others, so boundaries hide nothing. The words of all factors
-are the duplicate spans.
+Every text is cut into reference blocks of `PASSAGE` words (and the words that its last windows need). The index
+names, for a window of 35 words (128-bit hash), the least and the greatest block in which it starts anywhere. Only windows
+near a shared entry are indexed: entries are the winnowed hashes of 18-word runs (in each stretch of 18 successive
+runs the least hash, the last of equals), a window holds exactly one such stretch, so equal windows share an entry at the
+same place and no repeated window is missed.
 
-Equal texts are folded into one block with a number of copies; two copies make all their windows repeated.
+A document is joined to the blocks that the index names for its windows: to a block other than the one the window stands
+in, where there is one. Its words are then parsed greedily: at each place the longest match of at least 35 words in those
+blocks, compared word by word and not with itself, becomes a factor. The next place looked at is the first window
+that reaches beyond the factor, so windows across a factor's boundary are checked like all others. The words of the
+factors are the duplicate spans; hashes only bring documents and blocks together.
+
+Equal texts are folded into one with a number of copies; two copies make all their windows repeated.
 
 Defined cases
 * null or blank text: no words, nothing removed. Under 35 words: nothing removed.
 * rows that repeat a doc_id, and null ids: texts are told apart by digest, so every row counts as a document.
-* ties: a factor points to the least place; the spans don't depend on it. Empty table: no rows.
+* ties: of equally long matches the first found makes the factor; the spans don't depend on it. Empty table: no rows.
 * columns other than doc_id and text are not read by `parsed` and carried untouched by `drop_repeats`.
 """
 
@@ -30,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import map_rows, table, with_text_key, written
 
 MIN_WORDS = 35
+#: Words of a reference block. Words that one more window each would need are stored with it.
+PASSAGE = 128
 MEMO_WORDS = 1_000_000
 _U = np.uint64
 _P1, _P2 = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
@@ -86,18 +91,57 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view("i8")
 
 
-def factors(starts: np.ndarray, sources: np.ndarray, window: int) -> list[tuple[int, int, int]]:
-    """(first word, words, source): successive windows with successive sources are one factor."""
-    if not len(starts):
+def block_ids(c1: int, numbers: np.ndarray) -> np.ndarray:
+    """Ids of a text's blocks. The text's own bits come first, so least and greatest blocks seldom change within
+    a passage; ids that clash only bring more blocks to a document."""
+    low = _U((1 << 20) - 1)
+    text = _U(c1 & 0xFFFFFFFFFFFFFFFF)
+    return _signed((text & ~low) | (_mix(numbers.astype("u8") ^ text) & low))
+
+
+def greedy_factors(words: list[bytes], blocks: list[tuple[int, list[bytes]]], hasher: WordHasher, window: int) -> list[tuple[int, int, int, int]]:
+    """(first word, words, block, place in the block) of the longest matches from left to right. A block is
+    (place in this very text or -1 for another text, words); a stretch never matches itself."""
+    n = len(words) - window + 1
+    if n < 1 or not blocks:
         return []
-    cut = np.flatnonzero((np.diff(starts) != 1) | (np.diff(sources) != 1)) + 1
-    first, last = np.r_[0, cut], np.r_[cut, len(starts)] - 1
-    return [(int(starts[a]), int(starts[b] - starts[a]) + window, int(sources[a])) for a, b in zip(first, last)]
+    mine = hasher(words)
+    theirs = [hasher(r) for _, r in blocks]
+    keys = [run_hashes(h, window, _P1) if len(h) >= window else np.zeros(0, "u8") for h in theirs]
+    block = np.repeat(np.arange(len(blocks)), [len(k) for k in keys])
+    place = np.concatenate([np.arange(len(k)) for k in keys])
+    keys = np.concatenate(keys)
+    order = np.argsort(keys, kind="stable")
+    own = run_hashes(mine, window, _P1)
+    low, high = np.searchsorted(keys[order], own, "left"), np.searchsorted(keys[order], own, "right")
+    hits = np.flatnonzero(high > low)
+    out, at = [], 0
+    while (k := int(np.searchsorted(hits, at))) < len(hits):
+        s = int(hits[k])
+        best = (0, 0, 0)
+        for j in order[low[s] : high[s]].tolist():
+            b, t = int(block[j]), int(place[j])
+            base, r = blocks[b]
+            most = min(len(words) - s, len(r) - t)
+            if most <= best[0] or base >= 0 and base + t == s:
+                continue
+            same = mine[s : s + most] == theirs[b][t : t + most]
+            long = most if same.all() else int(same.argmin())
+            if words[s : s + long] != r[t : t + long]:  # words whose hashes clash
+                long = next(i for i in range(long) if words[s + i] != r[t + i])
+            if long >= window and long > best[0]:
+                best = (long, b, t)
+        if best[0]:
+            out.append((s, *best))
+            at = s + best[0] - window + 1  # the first window that the factor doesn't hold
+        else:
+            at = s + 1
+    return out
 
 
 def parsed(docs: DataFrame, window: int = MIN_WORDS, with_text: bool = False) -> DataFrame:
     """One row per different text: c1, c2 (its digest), n_words, n_removed, kept_sha256, kept_text (null unless asked
-    for and changed), factors (first word, words, source) of texts that stand once."""
+    for and changed), factors (first word, words, source text, place in it) of texts that stand once."""
     run = (window + 1) // 2
     stretch = window - run + 1
     keyed = with_text_key(docs.select("text"))
@@ -123,7 +167,8 @@ def parsed(docs: DataFrame, window: int = MIN_WORDS, with_text: bool = False) ->
         "blocks",
     )
     index = blocks.filter(F.size("entries") > 0).select("c1", "copies", F.explode("entries").alias("entry"))
-    shared = index.groupBy("entry").agg(F.sum("copies").alias("n")).filter("n > 1").select("entry")
+    # a table of its own, so that the join is free to split hot entries
+    shared = written(index.groupBy("entry").agg(F.sum("copies").alias("n")).filter("n > 1").select("entry"), "shared-entries")
     touched = index.select("c1", "entry").join(shared, "entry").groupBy("c1").agg(F.collect_set("entry").alias("entries"))
     touched = touched.join(blocks.select("c1", "c2", "copies", "n_words"), "c1")
 
@@ -136,64 +181,80 @@ def parsed(docs: DataFrame, window: int = MIN_WORDS, with_text: bool = False) ->
     texts = map_rows(keyed, squeezed, "c1 long, c2 long, z binary").groupBy("c1", "c2").agg(F.first("z").alias("z"))
     open_ = written(texts.join(touched, ["c1", "c2"]), "touched")
 
+    def near(h, entries):
+        """Starts of the windows around the entries."""
+        runs = _signed(run_hashes(h, run, _P1))
+        at = np.flatnonzero(np.isin(runs, np.array(entries, "i8")))
+        mark = np.zeros(len(h) + 1, "i4")
+        np.add.at(mark, np.maximum(at - (stretch - 1), 0), 1)
+        np.add.at(mark, np.minimum(at, len(h) - window) + 1, -1)
+        return np.flatnonzero(np.cumsum(mark)[: len(h) - window + 1] > 0)
+
     def windowed():
         import zstandard
 
         hasher, expand = WordHasher(), zstandard.ZstdDecompressor()
 
-        def go(c1, c2, copies, z, entries):
+        def go(c1, copies, z, entries):
             h = hasher(expand.decompress(z).split())
-            runs = _signed(run_hashes(h, run, _P1))
-            at = np.flatnonzero(np.isin(runs, np.array(entries, "i8")))
-            near = np.zeros(len(h) + 1, "i4")
-            np.add.at(near, np.maximum(at - (stretch - 1), 0), 1)
-            np.add.at(near, np.minimum(at, len(h) - window) + 1, -1)
-            s = np.flatnonzero(np.cumsum(near)[: len(h) - window + 1] > 0)
+            s = near(h, entries)
             one, two = run_hashes(h, window, _P1)[s], run_hashes(h, window, _P2)[s]
-            place = (np.uint64(c1 & ((1 << 40) - 1)) << _U(24)) + s.astype("u8")
-            yield c1, copies, s.astype("i4"), _signed(one), _signed(two), _signed(place & _U((1 << 63) - 1))
+            yield c1, copies, _signed(one), _signed(two), block_ids(c1, s // PASSAGE)
 
         return go
 
-    windows = map_rows(
-        open_.select("c1", "c2", "copies", "z", "entries"), windowed, "c1 long, copies long, s array<int>, one array<long>, two array<long>, place array<long>"
-    ).select("c1", "copies", F.inline(F.arrays_zip("s", "one", "two", "place")))
-    repeated = windows.groupBy("one", "two").agg(F.sum("copies").alias("n"), F.min("place").alias("source")).filter("n > 1")
-    marks = (
-        windows.filter("copies = 1")
-        .select("c1", "s", "one", "two")
-        .join(repeated.select("one", "two", "source"), ["one", "two"])
-        .groupBy("c1")
-        .agg(F.collect_list(F.struct("s", "one", "source")).alias("marks"))
-        .select("c1", F.col("marks.s").alias("s"), F.col("marks.one").alias("one"), F.col("marks.source").alias("source"))
-    )
+    def windows(texts):
+        arrays = "one array<long>, two array<long>, block array<long>"
+        flat = map_rows(texts.select("c1", "copies", "z", "entries"), windowed, f"c1 long, copies long, {arrays}")
+        return flat.select("c1", "copies", F.inline(F.arrays_zip("one", "two", "block")))
+
+    repeated = windows(open_).groupBy("one", "two").agg(F.sum("copies").alias("n"), F.min("block").alias("least"), F.max("block").alias("most"))
+    repeated = written(repeated.filter("n > 1").select("one", "two", "least", "most"), "index")
+    alone = open_.filter("copies = 1")
+    other = F.when(F.col("least") != F.col("block"), F.col("least")).otherwise(F.col("most"))
+    wanted = windows(alone).select("c1", "one", "two", "block").join(repeated, ["one", "two"]).select("c1", other.alias("block")).distinct()
+
+    def blocked():
+        import zstandard
+
+        hasher, expand, squeeze = WordHasher(), zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
+
+        def go(c1, c2, z, entries):
+            w = expand.decompress(z).split()
+            numbers = np.unique(near(hasher(w), entries) // PASSAGE)
+            for k, block in zip(numbers.tolist(), block_ids(c1, numbers).tolist()):
+                at = k * PASSAGE
+                yield block, c1, c2, at, squeeze.compress(b" ".join(w[at : at + PASSAGE + window - 1]))
+
+        return go
+
+    blocks_of = map_rows(open_.select("c1", "c2", "z", "entries"), blocked, "block long, b1 long, b2 long, base long, words binary")
+    given = wanted.join(blocks_of, "block").groupBy("c1").agg(F.collect_list(F.struct("b1", "b2", "base", "words")).alias("given"))
+    given = given.select("c1", *(F.col(f"given.{c}").alias(c) for c in ("b1", "b2", "base", "words")))
 
     def cut():
         import zstandard
 
         hasher, expand = WordHasher(), zstandard.ZstdDecompressor()
 
-        def go(c1, c2, z, s, one, source):
+        def go(c1, c2, z, b1, b2, base, packed):
             w = expand.decompress(z).split()
-            order = np.argsort(s, kind="stable")
-            s, one, source = np.array(s, "i8")[order], np.array(one, "i8")[order], np.array(source, "i8")[order]
-            fit = s < len(w) - window + 1
-            s, one, source = s[fit], one[fit], source[fit]
-            fit = _signed(run_hashes(hasher(w), window, _P1))[s] == one  # in case two texts share c1
-            spans = factors(s[fit], source[fit], window)
+            given = [(at if (x, y) == (c1, c2) else -1, expand.decompress(r).split()) for x, y, at, r in zip(b1, b2, base, packed)]
+            spans = greedy_factors(w, given, hasher, window)
             gone = np.zeros(len(w) + 1, "i4")
-            for at, n, _ in spans:
+            for at, n, _, _ in spans:
                 gone[at] += 1
                 gone[at + n] -= 1
             stay = np.cumsum(gone)[: len(w)] == 0
             kept = b" ".join([x for x, k in zip(w, stay) if k])
             text = kept.decode("utf-8", "surrogatepass") if with_text and spans else None
-            yield c1, c2, int(len(w) - stay.sum()), hashlib.sha256(kept).hexdigest(), text, [list(x) for x in spans]
+            shown = [[at, n, b1[b], base[b] + t] for at, n, b, t in spans]
+            yield c1, c2, int(len(w) - stay.sum()), hashlib.sha256(kept).hexdigest(), text, shown
 
         return go
 
     done = map_rows(
-        open_.filter("copies = 1").join(marks, "c1").select("c1", "c2", "z", "s", "one", "source"),
+        alone.select("c1", "c2", "z").join(given, "c1"),
         cut,
         "c1 long, c2 long, cut_words long, cut_sha256 string, cut_text string, factors array<array<long>>",
     )
