@@ -327,6 +327,90 @@ def test_urls(spark, odd):
     assert url_filters.filtered_urls(pages.limit(0), labels).count() == 0
 
 
+def tree_of(rows, marks, fits):
+    """page_id -> (template, decided_by, bad share, verdict), by recursion over dictionaries. rows: page_id, host, path."""
+    prior, z, few = url_filters.PRIOR, url_filters.Z, url_filters.MIN_BRANCH
+    label = {}
+    for page, _, path in rows:
+        m = re.search(r"/(\d{1,18})(?:\.\w+)?/?$", path)
+        label[page] = marks.get(int(m[1])) if m else None
+        label[page] = None if label[page] is None else (fits[int(m[1])], label[page])
+    tally = lambda ps: (sum(1 for p in ps if label[p] and label[p][0]), sum(label[p][1] for p in ps if label[p] and label[p][0]))
+    n, bad = tally(label)
+    share = bad / n if n else 0.0
+
+    def differs(a, b):
+        if not a[0] or not b[0]:
+            return 0
+        p = (a[1] + b[1] + prior * share) / (a[0] + b[0] + prior)
+        gap = (a[1] + prior * p) / (a[0] + prior) - (b[1] + prior * p) / (b[0] + prior)
+        error = z * (p * (1 - p) * (1 / (a[0] + prior) + 1 / (b[0] + prior))) ** 0.5
+        return 1 if gap > error else -1 if gap < -error else 0
+
+    less = lambda a, b: (a[0] - b[0], a[1] - b[1])
+    out = {}
+
+    def grow(members, depth, template, own, purity):
+        """members: page -> segments."""
+        on = {p: s for p, s in members.items() if len(s) > depth}
+        out.update({p: (template, own, purity) for p in members if p not in on})
+        by = {}
+        for p, s in on.items():
+            seg = s[depth]
+            by.setdefault(re.sub(r"^[^.]*", "*", seg) if re.search("[0-9]", seg) or len(seg) > 40 else seg, []).append(p)
+        whole, sums = tally(on), {k: tally(ps) for k, ps in by.items()}
+        side = {k: 0 if len(ps) < few else differs(sums[k], less(whole, sums[k])) for k, ps in by.items()}
+        merged = {}
+        for k, ps in by.items():
+            peers = [j for j in by if side[j] == side[k]]
+            pool = tally([p for j in peers for p in by[j]])
+            own_name = len(peers) == 1 and len(ps) >= few or side[k] and differs(sums[k], less(pool, sums[k]))
+            merged.setdefault(k if own_name else {0: "*", 1: "(+)", -1: "(-)"}[side[k]], []).extend(ps)
+        for name, ps in merged.items():
+            t, s = f"{template}{name}/", tally(ps)
+            mine = differs(s, less(whole, s)) != 0
+            now = (t, (s[1] + prior * purity) / (s[0] + prior)) if mine else (own, purity)
+            if len(on) < few:
+                out.update({p: (t, *now) for p in ps})
+            else:
+                grow({p: on[p] for p in ps}, depth + 1, t, *now)
+
+    hosts = {}
+    for page, host, path in rows:
+        hosts.setdefault(host, {})[page] = [x for x in path.split("/") if x]
+    for members in hosts.values():
+        s = tally(members)
+        grow(members, 0, "/", "/", (s[1] + prior * share) / (s[0] + prior))
+    threshold = 2.0
+    for t in reversed([share + f * (1 - share) for f in url_filters.STEPS]):
+        held = [label[p][1] for p, o in out.items() if o[2] >= t and label[p] and not label[p][0]]
+        threshold = t if held and (sum(held) + prior * share) / (len(held) + prior) >= t else threshold
+    return {p: (t, d, round(s, 9), "block" if s >= threshold else "allow") for p, (t, d, s) in out.items()}
+
+
+@pytest.mark.parametrize("planted", [False, True])
+def test_template_tree_against_brute_force(spark, sf_dir, planted):
+    if planted:
+        rng = np.random.default_rng(4)
+        kinds = ["spam/a", "spam/b", "junk/a", "news/x/2020", "news/x/old", "ads", "blog", "blog/in", "wiki/q1"] + [f"{a}{b}" for a in "pqrstuv" for b in "xyz"]
+        odds = {"spam": 0.97, "junk": 0.9, "ads": 0.7, "news": 0.02, "wiki": 0.4}
+        picks = [(i, f"http://h{i % 3}.net/{kinds[int(k)]}/{i}") for i, k in enumerate(rng.integers(0, len(kinds), 4000))]
+        labels = [(i, int(rng.random() > odds.get(u.split("/")[3], 0.15)), 0) for i, u in picks if i % 4]
+        pages = spark.createDataFrame([(i, u) for i, u in picks], "page_id long, url string")
+        labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    else:
+        pages, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("pages", "labels"))
+    got = {r.page_id: r for r in url_filters.templates(pages, labels).collect()}
+    marks = {r.doc_id: int(r.quality == 0 or r.toxic == 1) for r in labels.collect()}
+    fits = {r.doc_id: r.f == 0 for r in labels.select(F.col("doc_id").cast("long").alias("doc_id")).select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("f")).collect()}
+    want = tree_of([(r.page_id, r.host, r.path) for r in got.values()], marks, fits)
+    assert {p: (r.template, r.decided_by, round(r.bad_share, 9), r.method_verdict) for p, r in got.items()} == want
+    if planted:
+        deciding = {(r.decided_by, r.method_verdict) for r in got.values()}
+        assert len({d for d, v in deciding if v == "block"}) >= 2 and len({d for d, v in deciding if v == "allow"}) >= 2
+        assert any("(+)" in r.template for r in got.values()) and any("/*/" in r.template for r in got.values())
+
+
 def test_bad_templates_are_blocked(spark):
     rows = [(i, f"http://h.net/{'spam' if i % 2 else 'ok'}/page/{i}", "", "") for i in range(200)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, tail string")
@@ -342,7 +426,8 @@ def test_templates_reach_the_last_segment(spark):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
     got = url_filters.filtered_urls(pages, labels).collect()
     assert Counter((r.verdict, r.page_id % 2) for r in got if r.page_id < 200) == {("block", 0): 100, ("allow", 1): 100}
-    assert {r.template for r in got if r.page_id >= 200} == {"/*/*/"} and len(got) == 202
+    # alike branches go on together; where fewer than MIN_BRANCH go on, one last wildcard ends them
+    assert {(r.template, r.verdict) for r in got if r.page_id >= 200} == {("/" + "*/" * 10, "allow")} and len(got) == 202
 
 
 @pytest.mark.parametrize("slugs", [900, 1100])
