@@ -229,13 +229,30 @@ def test_line_dedup_on_awkward_rows(spark, odd):
 
 
 def test_runs_are_compacted_and_anti_joined(spark):
-    runs = line_dedup.LineRuns(spark, 2, fanout=2)
+    runs = line_dedup.LineRuns(spark, 2, fanout=3)
     batch = lambda rows: spark.createDataFrame(rows, "doc long, h1 long, h2 long")
-    for k in range(4):
-        runs.add(batch([(k, 1, 1), (k, 2, k)]))
-    assert [len(x) for x in runs.levels] == [0, 0, 1]
-    assert {(r.h1, r.h2, r.n_docs, r.last_doc) for r in runs.frequent(4).collect()} == {(1, 1, 4, 3)}
-    assert [r.h2 for r in runs.unseen(batch([(9, 1, 1), (9, 2, 8)])).collect()] == [8]
+    held = lambda df: {(r.h1, r.h2, r.n_docs, r.last_doc) for r in df.collect()}
+    for k in range(5):
+        runs.add(batch([(k, 1, 1), (k, 1, 1), (k, 2, k // 2), (k, 3, k)]))
+        # the newest run holds a known key's totals so far, and new keys with their own
+        if k != 2:  # compacted
+            assert held(runs.runs()[0]) == {(1, 1, k + 1, k), (2, k // 2, k % 2 + 1, k), (3, k, 1, k)}
+    assert [len(x) for x in runs.levels] == [2, 1]
+    assert held(runs.frequent(2)) == {(1, 1, 5, 4), (2, 0, 2, 1), (2, 1, 2, 3)}
+    counts = batch([(9, 1, 1), (9, 2, 8)]).withColumns({"n_docs": F.lit(1).cast("long"), "last_doc": F.col("doc")}).drop("doc")
+    assert [r.h2 for r in runs.unseen(counts, runs.runs()).collect()] == [8]
+    assert held(runs.known(counts, runs.runs()[0])) == {(1, 1, 6, 9)}
+    runs.drop()
+
+
+def test_the_query_anti_joins_every_batch(spark, odd, monkeypatch):
+    seen = []
+    plain = line_dedup.LineRuns.unseen
+    monkeypatch.setattr(line_dedup.LineRuns, "unseen", staticmethod(lambda c, r: seen.append(len(r)) or plain(c, r)))
+    line_dedup.dedup_lines(odd)
+    assert seen == [1, 1, 1, 1]  # batches after the first: against one, one and two runs
+    monkeypatch.setattr(line_dedup.LineRuns, "unseen", staticmethod(lambda c, r: plain(c, r).limit(0)))
+    assert {r.doc_id for r in line_dedup.dedup_lines(odd).filter(F.col("text").contains("line that")).collect()} != {25}
 
 
 # 6 substrings

@@ -1,11 +1,12 @@
 """Line dedup over levelled sorted runs of line hashes (DataFrame functions only).
 
 State: a log-structured set of runs. A run is a table bucketed and sorted by line hash with one
-row (h1, h2, n_docs, last_doc) per key. Every batch of documents is counted by itself and adds one run,
-without a look at the others; the runs are merge-joined when they are compacted and read. `LineRuns.unseen`,
-the merge-anti-join of a batch with the runs, is no step of the query: its totals need all batches first.
-When a level holds `fanout` runs they are merged into one run of the next level. Because every run is
-bucketed alike, these joins and merges read bucket against bucket without a shuffle of the state.
+row (h1, h2, n_docs, last_doc) per key. Every batch of documents is counted and then led past the runs, newest first: keys
+that a run holds are merge-joined with it and take its totals up, the others are merge-anti-joined with it and go on to
+the next older run; what no run holds is new. Known and new keys make the batch's own run. So the newest run that holds a key
+has its totals over all batches so far, and when a level holds `fanout` runs they are compacted into one run of
+the next level in which the newest row of a key wins. Because every run is bucketed alike, these joins and merges read
+bucket against bucket without a shuffle of the state.
 
 Defined cases
 * null or empty text: one empty line. Keys under `min_chars` code points are never dropped.
@@ -22,7 +23,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, ascii_lower, fresh_path, table, written
+from .common import WS, ascii_lower, delete, fresh_path, table, with_text_key, written
 
 #: Rows of the drop set up to which it is broadcast (24 bytes each); beyond it, a skew-aware sort-merge join.
 BROADCAST_ROWS = 200_000
@@ -37,16 +38,11 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _hash(key: Column) -> Column:
-    """128 bits, so that no two keys of a 100 TB corpus are expected to meet."""
-    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("tidewell"), key).alias("h2"))
-
-
 def _line_hashes(text: Column, min_chars: int) -> Column:
-    """One entry per line: its hash, or null for short keys."""
-    return F.transform(
-        F.transform(_lines(text), line_key), lambda k: F.when(F.char_length(k) >= min_chars, _hash(k))
-    )
+    """(h1, h2, pos) of every line whose key is long enough. 128 bits, so that no two keys of a 100 TB corpus are expected to meet."""
+    keys = F.transform(_lines(text), lambda x, i: F.struct(line_key(x).alias("key"), i.alias("pos")))
+    long_ = F.filter(keys, lambda k: F.char_length(k["key"]) >= min_chars)
+    return F.transform(long_, lambda k: F.struct(F.xxhash64(k["key"]).alias("h1"), F.xxhash64(F.lit("tidewell"), k["key"]).alias("h2"), k["pos"].alias("pos")))
 
 
 class LineRuns:
@@ -56,69 +52,87 @@ class LineRuns:
         self.spark, self.buckets, self.fanout = spark, buckets, fanout
         self.name = f"line_runs_{uuid.uuid4().hex}"
         self.levels: list[list[str]] = [[]]
-        self._made = 0
+        self._made, self._paths = 0, {}
 
-    def _write(self, rows: DataFrame) -> str:
-        """Write a run bucketed and sorted by hash; the files lie in the shared folder."""
+    def _write(self, *parts: DataFrame) -> str:
+        """Write a run bucketed and sorted by hash; the files lie in the shared folder. Each part is dealt by itself:
+        what comes from runs lies in its bucket already."""
         self._made += 1
         name = f"{self.name}_{self._made}"
-        (
-            rows.repartition(self.buckets, "h1", "h2")
-            .write.bucketBy(self.buckets, "h1", "h2")
-            .sortBy("h1", "h2")
-            .option("path", fresh_path(self.spark, name))
-            .option("compression", "zstd")
-            .saveAsTable(name)
-        )
+        self._paths[name] = fresh_path(self.spark, name)
+        for part in parts:
+            (
+                part.repartition(self.buckets, "h1", "h2")
+                .write.mode("append")
+                .bucketBy(self.buckets, "h1", "h2")
+                .sortBy("h1", "h2")
+                .option("path", self._paths[name])
+                .option("compression", "zstd")
+                .saveAsTable(name)
+            )
         return name
 
     def runs(self) -> list[DataFrame]:
-        return [self.spark.table(t) for level in self.levels for t in level]
+        """Newest first."""
+        return [self.spark.table(t) for level in self.levels for t in reversed(level)]
 
     @staticmethod
     def _merged(runs: list[DataFrame]) -> DataFrame:
-        """Counts of several runs added up by merge joins, bucket by bucket."""
+        """Runs, newest first, as one: bucket by bucket, the newest row of a key wins."""
         out = runs[0]
         for run in runs[1:]:
-            other = run.select("h1", "h2", F.col("n_docs").alias("n_more"), F.col("last_doc").alias("last_more"))
-            out = out.hint("merge").join(other, ["h1", "h2"], "full").select(
-                "h1",
-                "h2",
-                (F.coalesce("n_docs", F.lit(0)) + F.coalesce("n_more", F.lit(0))).alias("n_docs"),
-                F.greatest("last_doc", "last_more").alias("last_doc"),
+            older = run.select("h1", "h2", F.col("n_docs").alias("n_old"), F.col("last_doc").alias("last_old"))
+            out = out.hint("merge").join(older, ["h1", "h2"], "full").select(
+                "h1", "h2", F.coalesce("n_docs", "n_old").alias("n_docs"), F.coalesce("last_doc", "last_old").alias("last_doc")
             )
         return out
 
     def add(self, batch: DataFrame) -> None:
-        """Add the run of a batch (doc, h1, h2); compact full levels."""
-        new = (
-            batch.groupBy("h1", "h2")
-            .agg(F.countDistinct("doc").alias("n_docs"), F.max("doc").alias("last_doc"))
-            .select("h1", "h2", "n_docs", "last_doc")
+        """Add the run of a batch (doc, h1, h2) of documents that no other batch holds; compact full levels."""
+        counts = self._write(
+            batch.groupBy("h1", "h2").agg(F.countDistinct("doc").alias("n_docs"), F.max("doc").alias("last_doc")).select("h1", "h2", "n_docs", "last_doc")
         )
-        self.levels[0].append(self._write(new))
+        new, parts = self.spark.table(counts), []
+        for run in self.runs():
+            parts.append(self.known(new, run))
+            new = self.unseen(new, [run])
+        self.levels[0].append(self._write(*parts, new) if parts else counts)
+        if parts:
+            self._forget([counts])
         level = 0
         while len(self.levels[level]) >= self.fanout:
-            merged = self._write(self._merged([self.spark.table(t) for t in self.levels[level]]))
-            for t in self.levels[level]:
-                self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+            merged = self._write(self._merged([self.spark.table(t) for t in reversed(self.levels[level])]))
+            self._forget(self.levels[level])
             self.levels[level] = []
             if level + 1 == len(self.levels):
                 self.levels.append([])
             self.levels[level + 1].append(merged)
             level += 1
 
-    def unseen(self, batch: DataFrame) -> DataFrame:
-        """Rows of a batch whose key no run holds: the merge-anti-join of each run in turn."""
-        for run in self.runs():
-            batch = batch.join(run.hint("merge").select("h1", "h2"), ["h1", "h2"], "left_anti")
-        return batch
+    @staticmethod
+    def known(counts: DataFrame, run: DataFrame) -> DataFrame:
+        """Counted keys that a run holds, with its totals taken up: the merge-join."""
+        run = run.select("h1", "h2", F.col("n_docs").alias("n_old"), F.col("last_doc").alias("last_old"))
+        return counts.join(run.hint("merge"), ["h1", "h2"]).select(
+            "h1", "h2", (F.col("n_docs") + F.col("n_old")).alias("n_docs"), F.greatest("last_doc", "last_old").alias("last_doc")
+        )
+
+    @staticmethod
+    def unseen(counts: DataFrame, runs: list[DataFrame]) -> DataFrame:
+        """Counted keys that no run holds: the merge-anti-join of each run in turn."""
+        for run in runs:
+            counts = counts.join(run.hint("merge").select("h1", "h2"), ["h1", "h2"], "left_anti")
+        return counts
+
+    def _forget(self, tables: list[str]) -> None:
+        for t in tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+            delete(self.spark, self._paths.pop(t))
 
     def drop(self) -> None:
-        """Take the runs out of the catalog."""
+        """Take the runs out of the catalog and the shared folder."""
         for level in self.levels:
-            for t in level:
-                self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+            self._forget(level)
         self.levels = [[]]
 
     def frequent(self, min_docs: int) -> DataFrame:
@@ -126,50 +140,40 @@ class LineRuns:
 
 
 def _drops(docs: DataFrame, min_chars: int, min_docs: int, batches: int) -> DataFrame:
-    """(doc, drop: array of hashes) for documents that lose lines."""
+    """(doc, c1, c2, gone: sorted places of the lines to drop) for texts that lose lines."""
     spark = docs.sparkSession
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST))
     lines = written(
-        docs.select(
-            doc.alias("doc"),
-            F.pmod(F.xxhash64(doc), F.lit(batches)).cast("int").alias("batch"),
-            F.array_distinct(F.array_compact(_line_hashes(F.col("text"), min_chars))).alias("hs"),
-        ).filter(F.size("hs") > 0),
+        with_text_key(docs.select(doc.alias("doc"), "text"))
+        .select("doc", "c1", "c2", F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int").alias("batch"), _line_hashes(F.col("text"), min_chars).alias("hs"))
+        .filter(F.size("hs") > 0),
         "line-hashes",
         ("batch",),
     )
-    flat = lines.select("doc", "batch", F.inline("hs").alias("h1", "h2"))
+    flat = lines.select("doc", "c1", "c2", "batch", F.inline("hs").alias("h1", "h2", "pos"))
     state = LineRuns(spark, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
     for b in range(batches):
-        state.add(flat.filter(F.col("batch") == b))
+        state.add(flat.filter(F.col("batch") == b).select("doc", "h1", "h2"))
     frequent = written(state.frequent(min_docs), "line-frequent")
     state.drop()
     small = frequent.count() <= BROADCAST_ROWS
     hit = flat.join(F.broadcast(frequent) if small else frequent.hint("merge"), ["h1", "h2"])
-    return (
-        hit.filter(F.col("doc") < F.col("last_doc"))
-        .groupBy("doc")
-        .agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
-    )
+    gone = F.sort_array(F.collect_set("pos"))  # a set: rows may be repeated
+    return hit.filter(F.col("doc") < F.col("last_doc")).groupBy("doc", "c1", "c2").agg(gone.alias("gone"))
 
 
 def filtered_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4) -> DataFrame:
     """Every row with (row: its columns, lines, kept_lines)."""
     drops = _drops(docs, min_chars, min_docs, batches)
-    row = docs.select(
-        F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"),
-        F.coalesce(docs["doc_id"].cast("long"), F.lit(_LOWEST)).alias("doc"),
-    )
-    lines, keys = _lines(F.col("row.text")), _line_hashes(F.col("row.text"), min_chars)
-    kept = F.filter(
-        F.arrays_zip(lines.alias("line"), keys.alias("key")),
-        lambda x: x["key"].isNull() | ~F.coalesce(F.array_contains(F.col("drop"), x["key"]), F.lit(False)),
-    )
-    return row.join(drops, "doc", "left").select(
-        "row",
-        lines.alias("lines"),
-        F.when(F.col("drop").isNull(), lines).otherwise(F.transform(kept, lambda x: x["line"])).alias("kept_lines"),
-    )
+    row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
+    row = with_text_key(row).withColumn("doc", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(_LOWEST)))
+    lines = _lines(F.col("row.text"))
+    # the stretches between dropped lines, so the work is linear in lines and drops
+    after = F.concat(F.array(F.lit(-1)), F.col("gone"))
+    until = F.concat(F.col("gone"), F.array(F.size("lines")))
+    kept = F.flatten(F.transform(F.arrays_zip(after.alias("a"), until.alias("b")), lambda x: F.slice(F.col("lines"), x["a"] + 2, x["b"] - x["a"] - 1)))
+    out = row.join(drops, ["doc", "c1", "c2"], "left").select("row", lines.alias("lines"), "gone")
+    return out.select("row", "lines", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(kept).alias("kept_lines"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4) -> DataFrame:
