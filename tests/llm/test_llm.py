@@ -213,7 +213,43 @@ def test_local_search_empties_bins():
     bins = packing.Bins(10)
     for b in [(6, 3), (6, 3), (4, 4), (4, 4), (1,), (1,)]:
         bins.put(b, 1)
-    assert packing.local_search(bins) > 0 and sum(bins.number.values()) <= 5
+    squares = sum(sum(b) ** 2 * n for b, n in bins.number.items())
+    assert packing.local_search(bins) > 0 and bins.bins == sum(bins.number.values()) <= 5
+    assert sum(sum(b) ** 2 * n for b, n in bins.number.items()) > squares
+    assert bins.waste == sum((10 - sum(b)) * n for b, n in bins.number.items())
+
+
+def best_fit_decreasing(lengths, capacity):
+    """Free space of the bins."""
+    free = Counter()
+    for x in sorted(lengths, reverse=True):
+        room = min((f for f in free if f >= x and free[f]), default=capacity)
+        free[room] -= free[room] > 0
+        free[room - x] += 1
+    return sum(free.values())
+
+
+def test_the_search_decides_on_real_histograms(spark, sf_dir):
+    """From one bin a piece, steps alone come to within one bin of what the tokens need, and never behind best fit decreasing."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    lengths = [r.length for r in packing.pieces_of(docs, public_tokenizers.path("byte_bpe_50k.json")).select("length").collect()]
+    plan = packing.plan(Counter(lengths))
+    used = sum(n for _, n in plan)
+    assert used <= -(-sum(lengths) // 1024) + 1 < len(lengths)
+    assert used <= best_fit_decreasing(lengths, 1024)
+
+
+def test_plans_of_large_corpora(monkeypatch):
+    rng = np.random.default_rng(2)
+    histogram = Counter({int(x): int(n) for x, n in zip(range(1, 1025), rng.integers(0, 10**9, 1024))})
+    monkeypatch.setattr(packing, "PLAN_PIECES", 20_000)
+    held, used = Counter(), 0
+    for bin_, n in packing.plan(histogram):
+        assert sum(bin_) <= 1024 and n > 0
+        used += n
+        for x in bin_:
+            held[x] += n
+    assert held == +histogram and used <= 1.01 * sum(x * n for x, n in histogram.items()) / 1024
 
 
 # 5 lines

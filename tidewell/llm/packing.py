@@ -2,10 +2,12 @@
 
 A sequence holds at most 1024 tokens, so there are at most 1024 different piece lengths. The plan is made on
 the histogram of lengths, which has that size whatever the corpus: bins with the same lengths are one class
-with a multiplicity. Best fit decreasing gives the start; local search then exchanges one piece for one, two for
-one, or moves pieces between underfull bins wherever the sum of squared fills grows, so that the emptiest bins
-run dry. Documents take their places by rank within their length, which is counted in salted groups, so no
-length is ever gathered in one task and nothing but the histogram reaches the driver.
+with a multiplicity. Every piece starts in a bin of its own. Local search then empties bins: the fullest underfull bin
+is given a piece of a bin with less in it, or exchanges pieces with one, one for one, two for one or one for two, whichever leaves it
+the least room. Every step increases the sum of squared fills, which bounds the number of steps. It ends when as
+few bins are left as the tokens need, or when no underfull bin has a step left. Documents take their places by rank within
+their length, which is counted in salted groups, so no length is ever gathered in one task and nothing but the histogram
+reaches the driver.
 
 Defined cases
 * null or empty text: one piece of one token (the separator).
@@ -31,8 +33,10 @@ from .common import map_rows, table, written
 
 CAPACITY = 1024
 END_ID = 2
-#: Most accepted exchanges of the local search, and salt groups a length is ranked in.
-MAX_STEPS, MAX_SALTS = 5_000, 1024
+#: Salt groups a length is ranked in.
+MAX_SALTS = 1024
+#: Pieces that are planned at a time.
+PLAN_PIECES = 1 << 20
 MEMO_WORDS = 400_000
 #: Fixed value: the word pattern of the public byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -106,92 +110,92 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
 
 
 class Bins:
-    """Classes of equal bins: sorted lengths -> number of bins."""
+    """Classes of equal bins: (lengths, longest first) -> number; and which underfull ones can give what."""
 
     def __init__(self, capacity: int):
         self.capacity = capacity
         self.number: Counter = Counter()
+        #: underfull classes by fill
+        self.by_fill: list[dict[tuple, None]] = [{} for _ in range(capacity)]
+        #: tokens -> {(class, one or two pieces of so many tokens)}, of underfull classes
+        self.gives: dict[int, dict[tuple, None]] = defaultdict(dict)
+        self.bins = self.waste = 0
 
-    def free(self, bin_: tuple) -> int:
-        return self.capacity - sum(bin_)
+    @staticmethod
+    def parts(bin_: tuple) -> set[tuple]:
+        """Every single piece and every two pieces of a bin, by length."""
+        return {(x,) for x in bin_} | {(x, y) for i, x in enumerate(bin_) for y in bin_[i + 1 :]}
 
     def put(self, bin_: tuple, n: int) -> None:
-        if bin_ and n:
-            self.number[tuple(sorted(bin_, reverse=True))] += n
+        if not bin_ or not n:
+            return
+        bin_ = tuple(sorted(bin_, reverse=True))
+        fill = sum(bin_)
+        self.bins += n
+        self.waste += n * (self.capacity - fill)
+        if bin_ not in self.number and fill < self.capacity:
+            self.by_fill[fill][bin_] = None
+            for give in self.parts(bin_):
+                self.gives[sum(give)][bin_, give] = None
+        self.number[bin_] += n
 
     def take(self, bin_: tuple, n: int) -> None:
+        fill = sum(bin_)
+        self.bins -= n
+        self.waste -= n * (self.capacity - fill)
         self.number[bin_] -= n
         if not self.number[bin_]:
             del self.number[bin_]
-
-
-def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> Bins:
-    bins = Bins(capacity)
-    open_: dict[int, list] = defaultdict(list)  # free space -> [(lengths, number)]
-    for size in sorted(histogram, reverse=True):
-        left = histogram[size]
-        while left:
-            room = min((f for f in open_ if f >= size and open_[f]), default=None)
-            if room is None:
-                each = min(capacity // size, left)
-                n = left // each
-                made = (size,) * each
-                open_[capacity - size * each].append((made, n))
-                left -= n * each
-                continue
-            lengths, n = open_[room].pop()
-            each = min(room // size, left)
-            use = min(n, left // each)
-            if n > use:
-                open_[room].append((lengths, n - use))
-            open_[room - size * each].append((lengths + (size,) * each, use))
-            left -= use * each
-    for classes in open_.values():
-        for lengths, n in classes:
-            bins.put(lengths, n)
-    return bins
-
-
-def _gain(a: int, b: int, moved: int) -> int:
-    """Growth of the sum of squared fills when `moved` tokens go from fill a to fill b."""
-    return (a - moved) ** 2 + (b + moved) ** 2 - a * a - b * b
-
-
-def local_search(bins: Bins, max_steps: int = MAX_STEPS) -> int:
-    """Empty the emptiest bins by moves and exchanges; returns the number of accepted steps (over whole classes)."""
-    cap, steps = bins.capacity, 0
-    done: set[tuple] = set()
-    while steps < max_steps:
-        under = sorted((b for b in bins.number if sum(b) < cap), key=lambda b: (sum(b), b))
-        if len(under) + (under != [] and bins.number[under[0]] > 1) < 2:
-            break
-        if sum((cap - sum(b)) * bins.number[b] for b in under) < cap:
-            break  # the lower bound is reached
-        source = next((b for b in under if b not in done), None)
-        if source is None:
-            break
-        best = None
-        fill = sum(source)
-        singles = sorted(set(source))
-        pairs = {(x, y) for i, x in enumerate(source) for y in source[i + 1 :]}
-        for target in under:
-            if target == source and bins.number[source] < 2:
-                continue
-            room, full = cap - sum(target), sum(target)
-            if full < fill:
-                continue
-            options = [((x,), ()) for x in singles]
-            options += [((x,), (y,)) for x in singles for y in set(target) if x > y]
-            options += [((x, y), (z,)) for x, y in pairs for z in set(target) if x + y > z]
-            for give, back in options:
-                moved = sum(give) - sum(back)
-                if 0 < moved <= room and (g := _gain(fill, full, moved)) > 0 and (best is None or g > best[0]):
-                    best = (g, target, give, back)
-        if best is None:
-            done.add(source)
+            if fill < self.capacity:
+                del self.by_fill[fill][bin_]
+                for give in self.parts(bin_):
+                    del self.gives[sum(give)][bin_, give]
+
+
+def best_step(bins: Bins, target: tuple) -> tuple | None:
+    """(source, pieces given, pieces taken back) that leaves the target least room; of equal ones that with the fewest pieces, then
+    with the emptiest source."""
+    fill = sum(target)
+    backs = [(0, ()), *sorted((sum(p), p) for p in bins.parts(target))]
+    for room in range(bins.capacity - fill):
+        moved = bins.capacity - fill - room
+        found = None
+        for held, back in backs:
+            for source, give in bins.gives.get(held + moved, ()):
+                pieces = len(give) + len(back)
+                # more moves than the source is ahead, so the squares grow; two for two is no step
+                if pieces > 3 or moved <= sum(source) - fill or (source == target and bins.number[target] < 2):
+                    continue
+                key = (pieces, sum(source), source, give, back)
+                if found is None or key < found:
+                    found = key
+        if found:
+            return found[2:]
+    return None
+
+
+def local_search(bins: Bins) -> int:
+    """Fill the fullest bins and empty the others until no fewer bins can hold the tokens, or no step is left; returns the
+    number of steps (each over as many equal bins as there are)."""
+    steps = tried = 0
+    stuck: set[tuple] = set()  # bins without a step when last looked at
+    top = bins.capacity - 1
+    while bins.waste >= bins.capacity:
+        target = found = None
+        while top > 0 and not found:
+            target = next((b for b in bins.by_fill[top] if b not in stuck), None)
+            if target is None:
+                top -= 1
+            elif not (found := best_step(bins, target)):
+                stuck.add(target)
+        if not found:
+            if tried == steps:
+                break
+            tried, top = steps, bins.capacity - 1
+            stuck.clear()  # other bins have changed meanwhile
             continue
-        _, target, give, back = best
-        n = bins.number[source] // 2 if target == source else min(bins.number[source], bins.number[target])
+        source, give, back = found
+        n = bins.number[target] // 2 if target == source else min(bins.number[source], bins.number[target])
         bins.take(source, n)
         bins.take(target, n)
         for old, out, into in ((source, give, back), (target, back, give)):
@@ -199,16 +203,27 @@ def local_search(bins: Bins, max_steps: int = MAX_STEPS) -> int:
             for x in out:
                 rest.remove(x)
             bins.put((*rest, *into), n)
-        done.clear()
+            top = max(top, min(sum(rest) + sum(into), bins.capacity - 1))
         steps += 1
     return steps
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple, int]]:
-    """Classes of bins (lengths, number) that hold exactly the lengths of the histogram."""
-    bins = best_fit_decreasing(histogram, capacity)
-    local_search(bins)
-    return sorted(bins.number.items())
+    """Classes of bins (lengths, number) that hold exactly the lengths of the histogram. Larger corpora are planned as a
+    multiple of a smaller one of the same shape, and the remainder by itself."""
+    scale = -(-sum(histogram.values()) // PLAN_PIECES)
+    if scale <= 1:
+        bins = Bins(capacity)
+        for length, n in histogram.items():
+            bins.put((length,), n)
+        local_search(bins)
+        return sorted(bins.number.items())
+    number: Counter = Counter()
+    for lengths, n in plan({x: n // scale for x, n in histogram.items() if n // scale}, capacity):
+        number[lengths] += n * scale
+    for lengths, n in plan({x: n % scale for x, n in histogram.items() if n % scale}, capacity):
+        number[lengths] += n
+    return sorted(number.items())
 
 
 def places(classes: list[tuple[tuple, int]]) -> list[tuple[int, int, int, int]]:
