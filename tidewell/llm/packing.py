@@ -37,19 +37,23 @@ END_ID = 2
 MAX_SALTS = 1024
 #: Pieces that are planned at a time.
 PLAN_PIECES = 1 << 20
-MEMO_WORDS = 400_000
+MEMO_WORDS, MEMO_CHARS = 400_000, 64
 #: Fixed value: the word pattern of the public byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts with these take the pattern's own way.
 _UNEVEN = ("  ", " \n", "\n ", "\n\n", "\0")
 _ODD_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Characters outside these blocks, which are old, may be unknown to the pattern of one library and known to another's.
+_NEW = re.compile("[^\0-\u02ff\u0370-\u0377\u0386-\u03ff\u0400-\u052f\u05d0-\u05ea\u0621-\u064a\u2010-\u205e\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
 
 
 def encoder(path: str):
     """text -> ids as little-endian unsigned 32-bit bytes; words are encoded once and remembered.
 
-    The vocabulary file is a tokenizers one; its merges run in tiktoken, which gives the same ids faster."""
+    The vocabulary file is a tokenizers one; its merges run in tiktoken, which gives the same ids faster. Words with
+    characters of newer blocks are split off by the library's own pattern."""
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -60,12 +64,18 @@ def encoder(path: str):
     merges = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     pattern = regex.compile(PATTERN, regex.V1).findall
     cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")")
+    split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+
+    def merged(word: str) -> bytes:
+        return np.array(merges.encode_ordinary(word), "<u4").tobytes()
 
     class Memo(dict):
         def __missing__(self, word):
-            if len(self) >= MEMO_WORDS:
-                self.clear()
-            out = self[word] = np.array(merges.encode_ordinary(word), "<u4").tobytes()
+            out = merged(word)
+            if len(word) <= MEMO_CHARS:
+                if len(self) >= MEMO_WORDS:
+                    self.clear()
+                self[word] = out
             return out
 
     memo = Memo()
@@ -78,12 +88,17 @@ def encoder(path: str):
             return pattern(text)
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
+    def new(text: str) -> bytes:
+        words = (bytes([byte_of[c] for c in w]) for w, _ in split(text))
+        return np.array([i for w in words for i in merges._encode_single_piece(w)], "<u4").tobytes()
+
+    def plain(text: str) -> bytes:
+        return new(text) if _NEW.search(text) else b"".join(map(get, find(text)))
+
     def encode(text: str) -> bytes:
         if "<|" in text and len(parts := cut.split(text)) > 1:
-            return b"".join(
-                np.uint32(special[p]).tobytes() if k % 2 else b"".join(map(get, find(p))) for k, p in enumerate(parts)
-            )
-        return b"".join(map(get, find(text)))
+            return b"".join(np.uint32(special[p]).tobytes() if k % 2 else plain(p) for k, p in enumerate(parts))
+        return plain(text)
 
     return encode
 
