@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ WS = " \t\n\x0b\x0c\r"
 WS_RE = r"[\x20\x09-\x0D]+"
 WORD_RE = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Words that a hasher remembers, of at most so many bytes each.
+MEMO_WORDS, MEMO_BYTES = 1_000_000, 64
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
 
 
@@ -70,6 +74,33 @@ def with_text_key(df: DataFrame) -> DataFrame:
     return df.withColumns({"c1": F.xxhash64(text), "c2": F.xxhash64(F.lit("tidewell"), text)})
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit mixer of unsigned numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class WordHasher:
+    """Words -> 64-bit hashes; those of short words are remembered."""
+
+    def __init__(self):
+        self.memo: dict[bytes, int] = {}
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        memo, out = self.memo, []
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
+        for w in words:
+            h = memo.get(w)
+            if h is None:
+                h = xxhash.xxh64_intdigest(w)
+                if len(w) <= MEMO_BYTES:
+                    memo[w] = h
+            out.append(h)
+        return np.array(out, "u8")
+
+
 def map_rows(df: DataFrame, make, schema: str) -> DataFrame:
     """Python over Arrow batches. `make()` runs once a task and gives a generator function from one row's
     values (in the order of df's columns) to output tuples. Longs keep all bits beside nulls."""

@@ -7,8 +7,8 @@ candidates; at a similarity of 0.85 a pair misses every band with a probability
 
 Links are confirmed in two steps, so that no bucket is expanded into pairs:
 1. every member of a bucket against the bucket's least member (linear in the members);
-2. candidate groups (buckets joined by common members) that are still in several components: all members outside
-   the group's largest component against every member of other components, in blocks of bounded bytes. Blocks
+2. in buckets whose members are still in several components (of buckets with the same members, in one): all members outside the
+   bucket's largest component against every member of other components, in blocks of bounded bytes. Blocks
    give at most a spanning forest of the links they find.
 In both steps a pair whose registers make the threshold implausible under the joint likelihood of the registers
 (given both set sizes) is left out; all others are confirmed on the full shingle sets.
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, ship, table, written
+from .common import WordHasher, map_rows, mix, ship, table, written
 
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
@@ -39,48 +39,31 @@ BASE, RATE, TOP = 1.001, 20.0, 65535
 #: Log-likelihood that a pair may lose at the threshold against its best similarity before it is left out.
 SLACK = 18.0
 BLOCK_BYTES = 3_000_000
-#: Candidate ids (8 bytes each) up to which they are broadcast to the texts.
-BROADCAST_IDS = 1_000_000
-MEMO_WORDS = 1_000_000
 
 _U = np.uint64
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
 def register_seeds() -> np.ndarray:
     """Odd multipliers, one per register."""
-    return _mix(np.arange(1, REGISTERS + 1, dtype="u8") * _U(0x9E3779B97F4A7C15)) | _U(1)
+    return mix(np.arange(1, REGISTERS + 1, dtype="u8") * _U(0x9E3779B97F4A7C15)) | _U(1)
 
 
 class Shingler:
     """text -> sorted distinct 64-bit shingle hashes of the ASCII-lower-cased words."""
 
     def __init__(self, size: int):
-        self.size, self.memo = size, {}
+        self.size, self.hasher = size, WordHasher()
 
     def __call__(self, text: str | None) -> np.ndarray:
         # bytes.lower() and bytes.split() know exactly A-Z and the six white-space bytes
         w = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if not w:
             return np.zeros(0, "u8")
-        memo, hashes = self.memo, []
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        for x in w:
-            h = memo.get(x)
-            if h is None:
-                h = memo[x] = xxhash.xxh64_intdigest(x)
-            hashes.append(h)
-        a = np.array(hashes, "u8")
+        a = self.hasher(w)
         k = min(self.size, len(a))
         out = np.full(len(a) - k + 1, k, "u8")
         for j in range(k):
-            out = _mix(out + a[j : len(a) - k + 1 + j]) + _U(0x9E3779B97F4A7C15)
+            out = mix(out + a[j : len(a) - k + 1 + j]) + _U(0x9E3779B97F4A7C15)
         return np.unique(out)
 
 
@@ -244,12 +227,13 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
     reps = seen.filter("same is not null").groupBy("same").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
     )
-    flat = reps.select("rep", F.posexplode("bands").alias("band", "key"))
-    buckets = flat.groupBy("band", "key").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).filter("size > 1")
-    stars = written(flat.join(buckets, ["band", "key"]).select("lead", "rep").filter("lead <> rep").distinct(), "stars")
+    # tables of their own, so that the joins are free to split hot buckets
+    flat = reps.select("rep", F.posexplode("bands").alias("band", "key")).select("rep", F.xxhash64("band", "key").alias("bucket"))
+    buckets = flat.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).filter("size > 1")
+    buckets = written(buckets.select("bucket", "lead"), "buckets")
+    members = written(flat.join(buckets, "bucket").select("bucket", "lead", "rep"), "members")
+    stars = written(members.select("lead", "rep").filter("lead <> rep").distinct(), "stars")
     nodes = written(stars.select(F.col("lead").alias("rep")).union(stars.select("rep")).distinct(), "nodes")
-    if nodes.count() <= BROADCAST_IDS:  # else texts and sketches are shuffled to them
-        nodes = F.broadcast(nodes)
 
     def squeezed():
         import zstandard
@@ -264,24 +248,31 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
         return run
 
     # sketched anew: only candidates need their registers, and rows that repeat an id have their own
-    texts = docs.withColumnRenamed("doc_id", "rep").join(nodes, "rep", "left_semi")
+    # by a shuffle of the texts at any size, since candidates grow with the corpus
+    texts = docs.withColumnRenamed("doc_id", "rep").join(nodes.hint("merge"), "rep", "left_semi")
     texts = written(map_rows(texts.select("rep", "text"), squeezed, "rep long, n long, registers binary, z binary"), "texts")
     side = lambda s: texts.select(*[F.col(c).alias(f"{d}_{s}" if d else s) for c, d in (("rep", ""), ("n", "n"), ("registers", "r"), ("z", "z"))])
     pairs = stars.select(F.col("lead").alias("a"), F.col("rep").alias("b")).join(side("a"), "a").join(side("b"), "b")
     pairs = pairs.select("a", "n_a", "r_a", "z_a", "b", "n_b", "r_b", "z_b")
     links = written(_confirmed(pairs, size, percent), "links")
     comp = written(components(links), "components")
-    group = components(stars.select(F.col("lead").alias("a"), F.col("rep").alias("b")))
-    placed = group.select(F.col("node").alias("rep"), F.col("comp").alias("g")).join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = written(placed.select("rep", "g", F.coalesce("comp", "rep").alias("comp")), "placed")
-    sizes = placed.groupBy("g", "comp").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("g").agg(F.max_by("comp", F.struct("k", -F.col("comp"))).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    open_ = placed.join(main, "g").join(texts, "rep").withColumn("stray", F.col("comp") != F.col("main"))
+    placed = members.select("bucket", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = written(placed.select("bucket", "rep", F.coalesce("comp", "rep").alias("comp")), "placed")
+    sizes = placed.groupBy("bucket", "comp").agg(
+        F.count("*").alias("k"), *(F.bit_xor(F.xxhash64(F.lit(seed), "rep")).alias(f"x{seed}") for seed in (1, 2))
+    )
+    main = sizes.groupBy("bucket").agg(
+        F.max_by("comp", F.struct("k", -F.col("comp"))).alias("main"), F.count("*").alias("parts"), F.sum("k").alias("k"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2")
+    )
+    main = main.filter("parts > 1").groupBy("k", "x1", "x2").agg(F.min_by("bucket", "bucket").alias("bucket"), F.min_by("main", "bucket").alias("main"))
+    main = written(main.select(F.col("bucket").alias("g"), "main"), "open-buckets")
+    open_ = placed.withColumnRenamed("bucket", "g").join(main, "g").join(texts, "rep").withColumn("stray", F.col("comp") != F.col("main"))
     open_ = written(open_.select("g", "rep", "comp", "n", "registers", "z", "stray"), "open")
     weight = F.lit(400) + 12 * F.col("n")
     count = open_.groupBy("g").agg(
         F.ceil(F.sum(F.when(F.col("stray"), weight)) / BLOCK_BYTES).cast("int").alias("rows"), F.ceil(F.sum(weight) / BLOCK_BYTES).cast("int").alias("cols")
     )
+    count = written(count, "block-counts")
     open_ = open_.join(count, "g")
     spread = lambda df, own, n_own, other, n_other, stray: df.select(
         "g", F.pmod(F.xxhash64("rep"), F.col(n_own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)).alias(other), "rep", "comp", "n", "registers", "z", F.lit(stray).alias("stray")
@@ -306,10 +297,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs without those that aren't the least of their component; all columns."""
     gone = near_duplicates(docs, size, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    gone = written(gone, "gone")
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    return docs.join(written(gone, "gone").hint("merge"), docs["doc_id"] == F.col("__gone"), "left_anti")
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,42 +26,18 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, table, with_text_key, written
+from .common import WordHasher, map_rows, mix, table, with_text_key, written
 
 MIN_WORDS = 35
 #: Words of a reference block. Words that one more window each would need are stored with it.
 PASSAGE = 128
-MEMO_WORDS = 1_000_000
 _U = np.uint64
 _P1, _P2 = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-class WordHasher:
-    def __init__(self):
-        self.memo: dict[bytes, int] = {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        memo, out = self.memo, []
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        for w in words:
-            h = memo.get(w)
-            if h is None:
-                h = memo[w] = xxhash.xxh64_intdigest(w)
-            out.append(h)
-        return np.array(out, "u8")
-
-
 def words_of(text: str | None) -> list[bytes]:
     """bytes.split() knows exactly the six white-space bytes."""
     return (text or "").encode("utf-8", "surrogatepass").split()
@@ -76,7 +52,7 @@ def run_hashes(words: np.ndarray, k: int, base: np.uint64) -> np.ndarray:
             out = runs[:n] if out is None else out[:n] * power + runs[done : done + n]
             done += span
         if done == k:
-            return _mix(out)
+            return mix(out)
         runs = runs[: len(runs) - span] * power + runs[span:]
         power, span = _U(int(power) ** 2 & 0xFFFFFFFFFFFFFFFF), span * 2
 
@@ -96,7 +72,7 @@ def block_ids(c1: int, numbers: np.ndarray) -> np.ndarray:
     a passage; ids that clash only bring more blocks to a document."""
     low = _U((1 << 20) - 1)
     text = _U(c1 & 0xFFFFFFFFFFFFFFFF)
-    return _signed((text & ~low) | (_mix(numbers.astype("u8") ^ text) & low))
+    return _signed((text & ~low) | (mix(numbers.astype("u8") ^ text) & low))
 
 
 def greedy_factors(words: list[bytes], blocks: list[tuple[int, list[bytes]]], hasher: WordHasher, window: int) -> list[tuple[int, int, int, int]]:
