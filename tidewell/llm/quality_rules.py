@@ -6,12 +6,18 @@ of them, those of the least id hash, which bounds what is broadcast). A document
 n-grams of log(p_target / p_raw), divided by their number. Bucket weights are rounded to integers, so sums
 don't depend on the order of rows and the threshold decides every document the same way in every run.
 
+Half of the labelled documents, by id hash, make the target; the other half choose the threshold: of the scores, in
+steps of 1 / `STEPS` nats, those that best tell held-out trusted documents from held-out documents of quality 0 (share of the
+former kept less share of the latter kept), the middle of the lowest such stretch. Without either kind it is `THRESHOLD`.
+
 Defined cases
 * null or blank text: no words, all counts 0, base_failed, not kept.
 * repeated doc_id: every row is judged by itself; null doc_id: judged, never trusted.
 * no labels or no trusted documents: every weight is 0, so only the base rules decide.
-* labels given more than once count as trusted only if all their rows say so.
+* labels given more than once count as trusted only if all their rows say so, as of quality 0 if all do.
 * empty table: empty result. Other columns, whatever their names, are carried by `reject_documents` untouched.
+* texts of any length: the repeated windows of a text are found by as many hash bits as its positions leave free; where two
+  different windows share them, by the words themselves.
 """
 
 from __future__ import annotations
@@ -25,34 +31,59 @@ BUCKETS = 1 << 15
 TARGET_DOCS = 50_000
 #: Weights are kept as multiples of 1 / SCALE.
 SCALE = 1 << 20
-#: Least mean log ratio of a kept document, in nats.
-THRESHOLD = -0.09
+#: Steps of a nat in which the threshold is chosen; the threshold (least mean log ratio of a kept document, in nats) where labels can't choose one.
+STEPS, THRESHOLD = 1024, -0.09
 #: Pseudo-count by which both multinomials are smoothed.
 PSEUDO = 5.0
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-_POS_BITS = 24
-
+#: Hash bits given up besides those that a text's positions take (tests raise it).
+SPARE_BITS = 0
 
-_LOW = (1 << _POS_BITS) - 1
 
-
-def _windows(w: Column) -> Column:
-    """All 3-word windows as (hash, position) packed into one long, sorted."""
+def _windows(w: Column, low: Column) -> Column:
+    """All 3-word windows as (hash, position) packed into one long, sorted; `low` has the bits of positions."""
     return F.when(
         F.size(w) >= 4,
         F.sort_array(
             F.transform(
                 F.sequence(F.lit(0), F.size(w) - 3),
-                lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(~_LOW).bitwiseOR(i.cast("long")),
+                lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")),
             )
         ),
     ).otherwise(F.array().cast("array<bigint>"))
 
 
-def _same(w: Column, a: Column, b: Column) -> Column:
+def _alike(a: Column, b: Column, low: Column) -> Column:
+    """Whether two packed windows have the same hash bits."""
+    return F.coalesce(a.bitwiseOR(low) == b.bitwiseOR(low), F.lit(False))
+
+
+def _same(w: Column, a: Column, b: Column, low: Column) -> Column:
     """Whether two packed windows hold the same words."""
-    i, j = a.bitwiseAND(_LOW).cast("int"), b.bitwiseAND(_LOW).cast("int")
-    return (a.bitwiseAND(~_LOW) == b.bitwiseAND(~_LOW)) & (F.get(w, i) == F.get(w, j)) & (F.get(w, i + 1) == F.get(w, j + 1)) & (F.get(w, i + 2) == F.get(w, j + 2))
+    i, j = a.bitwiseAND(low).cast("int"), b.bitwiseAND(low).cast("int")
+    return (F.get(w, i) == F.get(w, j)) & (F.get(w, i + 1) == F.get(w, j + 1)) & (F.get(w, i + 2) == F.get(w, j + 2))
+
+
+def _repeated_exactly(w: Column) -> Column:
+    """Positions of repeated windows, by sorting the words themselves."""
+    rows = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.cast("long").alias("at"))))
+    same = lambda x, y: F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
+    # the neighbours stand beside each row, so that rows aren't sorted anew for each
+    beside = F.arrays_zip(rows.alias("x"), F.concat(F.array(F.lit(None)), rows).alias("y"), F.concat(F.slice(rows, 2, F.size(w)), F.array(F.lit(None))).alias("z"))
+    found = F.filter(beside, lambda r: r["x"].isNotNull() & (same(r["x"], r["y"]) | same(r["x"], r["z"])))
+    return F.transform(found, lambda r: r["x"]["at"])
+
+
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """docs (with `w`, the words) and `starts`, the sorted positions of the 3-word windows that stand more than once. Hash bits
+    beside the position; where two windows have the same bits but other words, the words decide."""
+    out = docs.withColumn("low", F.expr(f"shiftleft(1L, length(bin(size(w))) + {SPARE_BITS}) - 1"))
+    out = out.withColumn("packed", _windows(F.col("w"), F.col("low")))
+    p, low, w = F.col("packed"), F.col("low"), F.col("w")
+    before = lambda x, i: (i > 0) & _alike(x, F.get(p, i - 1), low)
+    clash = F.exists(F.filter(p, lambda x, i: before(x, i) & ~_same(w, x, F.get(p, F.greatest(i - 1, F.lit(0))), low)), lambda x: F.lit(True))
+    fast = F.transform(F.filter(p, lambda x, i: before(x, i) | _alike(x, F.get(p, i + 1), low)), lambda x: x.bitwiseAND(low))
+    return out.withColumn("starts", F.sort_array(F.when(clash, _repeated_exactly(w)).otherwise(fast))).drop("low", "packed")
 
 
 def base_features(docs: DataFrame) -> DataFrame:
@@ -66,17 +97,10 @@ def base_features(docs: DataFrame) -> DataFrame:
         F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         filled.alias("filled"),
-        _windows(F.col("w")).alias("packed"),
     )
-    p = F.col("packed")
-    found = F.filter(
-        p,
-        lambda x, i: F.coalesce((i > 0) & _same(F.col("w"), x, F.get(p, i - 1)), F.lit(False))
-        | F.coalesce(_same(F.col("w"), x, F.get(p, i + 1)), F.lit(False)),
-    )
-    starts = F.sort_array(F.transform(found, lambda x: x.bitwiseAND(_LOW)))
+    out = repeated_windows(out)
     covered = F.aggregate(
-        starts,
+        "starts",
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).cast("long").alias("last")),
         lambda a, x: F.struct((a["n"] + F.least(F.lit(3).cast("long"), x - a["last"])).alias("n"), x.alias("last")),
         lambda a: a["n"],
@@ -102,12 +126,34 @@ def _buckets(w: Column) -> Column:
     return F.array_compact(F.concat(one, two))
 
 
+def judged(labels: DataFrame) -> DataFrame:
+    """label_id, fits (makes the target, or is held out), kind (1: trusted, 0: of quality 0, else null)."""
+    good = F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))
+    poor = F.coalesce(F.col("quality") == 0, F.lit(False))
+    out = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min(good).alias("good"), F.min(poor).alias("poor"))
+    return out.select("label_id", (F.pmod(F.xxhash64("label_id"), F.lit(2)) == 0).alias("fits"), F.when(F.col("good"), 1).when(F.col("poor"), 0).alias("kind"))
+
+
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    good = labels.groupBy("doc_id").agg(
-        F.min(F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))).alias("good")
-    )
-    good = good.filter(F.col("good") & F.col("doc_id").isNotNull())
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_DOCS).select(F.col("doc_id").alias("trusted_id"))
+    good = judged(labels).filter("fits and kind = 1")
+    return good.orderBy(F.xxhash64(F.lit("target"), "label_id"), "label_id").limit(TARGET_DOCS).select(F.col("label_id").alias("trusted_id"))
+
+
+def best_threshold(scored: DataFrame, labels: DataFrame) -> float:
+    """From the held-out labels; at most as many rows as there are steps between the scores come back."""
+    held = written(judged(labels).filter("not fits and kind is not null").select("label_id", "kind"), "held-labels")
+    rows = scored.filter("not base_failed").select("doc_id", F.floor(F.col("score") * STEPS).alias("step"))
+    counts = rows.join(held, F.col("doc_id") == F.col("label_id")).groupBy("step").agg(F.sum("kind").alias("good"), F.count("*").alias("n")).orderBy("step").collect()
+    good, poor = sum(r.good for r in counts), sum(r.n - r.good for r in counts)
+    if not good or not poor:
+        return THRESHOLD
+    # documents below a step are rejected; gain: poor ones rejected less good ones rejected, in integers
+    gain, best = 0, (0, counts[0].step, counts[0].step)
+    for k, r in enumerate(counts):
+        gain += (r.n - r.good) * good - r.good * poor
+        if gain > best[0]:
+            best = (gain, r.step + 1, counts[k + 1].step if k + 1 < len(counts) else r.step + 1)
+    return (best[1] + best[2]) / 2 / STEPS
 
 
 def bucket_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -128,34 +174,35 @@ def bucket_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return counts.select("bucket", F.round((ratio if target else F.lit(0.0)) * SCALE).cast("long").alias("weight"))
 
 
-def _scored(docs: DataFrame, labels: DataFrame, threshold: float, carry: list[str]) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, carry: list[str]) -> DataFrame:
+    """Per row of docs (doc_id, text and `carry`): doc_id, carry, base columns, score, kept."""
     weights = F.broadcast(bucket_weights(docs.select("doc_id", "text"), labels))  # at most BUCKETS rows
-    base = base_features(docs.select(*carry, "text")).drop("text").withColumn("rid", F.monotonically_increasing_id())
+    base = base_features(docs.select(*carry, F.col("doc_id").cast("long"), "text")).drop("text").withColumn("rid", F.monotonically_increasing_id())
     grams = base.select(
-        *[c for c in base.columns if c != "w"],
+        *[c for c in base.columns if c not in ("w", "filled", "starts")],
         F.explode_outer(_buckets(F.col("w"))).alias("bucket"),
     )
     keys = [c for c in grams.columns if c != "bucket"]
     out = grams.join(weights, "bucket", "left").groupBy(*keys).agg(
         F.coalesce(F.sum("weight"), F.lit(0)).alias("total"), F.count("bucket").alias("grams")
     )
-    good = F.col("total") >= F.lit(round(threshold * SCALE)) * F.col("grams")
-    return out.withColumn("score", F.col("total") / SCALE / F.greatest("grams", F.lit(1))).withColumn(
-        "kept", ~F.col("base_failed") & good
-    )
+    out = written(out.withColumn("score", F.col("total") / SCALE / F.greatest("grams", F.lit(1))).drop("rid"), "scores")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= best_threshold(out, labels)))
 
 
-def reject_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def reject_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with all their columns. The verdict depends on the text alone."""
     named = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), "doc_id", "text")
     keyed = with_text_key(named)
-    kept = _scored(keyed.select("doc_id", "text", "c1", "c2"), labels, threshold, ["c1", "c2"]).filter("kept")
-    out = keyed.join(kept.select("c1", "c2").distinct(), ["c1", "c2"], "left_semi")
+    kept = scored(keyed.select("doc_id", "text", "c1", "c2"), labels, ["c1", "c2"]).filter("kept")
+    # a table of its own, so that the join is free to split hot texts
+    kept = written(kept.select("c1", "c2").distinct(), "kept-texts")
+    out = keyed.join(kept, ["c1", "c2"], "left_semi")
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), THRESHOLD, ["doc_id"])
+    out = scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), [])
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"
     )
