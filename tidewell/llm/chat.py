@@ -2,9 +2,10 @@
 
 A conversation is formatted as `<|im_start|>role, newline, text, <|im_end|>, newline` per turn. Conversations that
 share initial turns share the nodes of a tree; a tree is written depth first, each shared turn once. Every node has the
-place of its characters, its position ids (the depth at which its characters stand in their conversation) and the
-intervals of the ancestors it may attend to, besides itself. A conversation's formatted text, its turns and
-its loss mask (assistant texts) are read back from these intervals alone.
+place of its characters, the position id of the first (its depth in its conversation; the others count on from it), the
+place of its loss mask (an assistant's text), and the intervals of the ancestors' characters that it may attend to besides
+its own. Intervals that touch are one, so there are as many as there are branches taken on the way, plus one. A conversation's
+formatted text, its turns and its loss mask are read back from these intervals alone.
 
 Trees are keyed by their first turn. Initial turns shared by more than `GROUP` conversations are hot: the conversations
 that follow them are dealt out by their next turn, and again by the one after where that is hot as well, so no task gathers
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +40,8 @@ GROUP = 256
 #: Hot initial turns (fewer than one for `GROUP` turns of input) up to which they are broadcast; beyond it, a skew-aware sort-merge join.
 BROADCAST_HOT = 1_000_000
 _MASK = (1 << 64) - 1
+#: Numbers of a node.
+NODE = ("parent", "start", "length", "position", "loss_start", "loss_end")
 _OPEN, _SHUT = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 
 
@@ -68,6 +72,11 @@ def parse_turn(formatted: str) -> tuple[str, str]:
     return unescape_role(role), unescape(text)
 
 
+def parse_turns(formatted: str) -> list[tuple[str, str]]:
+    """No control string stands inside a turn, so turns end where the text says so."""
+    return [parse_turn(t + f"{END}\n") for t in formatted.split(f"{END}\n")[:-1]]
+
+
 def conversations_of(rows: DataFrame) -> DataFrame:
     """conv_id, turns (role, text in order), digests (one per turn)."""
     turns = F.transform(
@@ -118,7 +127,8 @@ def _parts(conversations: DataFrame) -> DataFrame:
 
 
 def build_trees(conversations: DataFrame) -> DataFrame:
-    """One row per tree (part): text, nodes (parent, start, length, position, loss), leaves (conv_id, node)."""
+    """One row per tree (part): text; per node parent, start, length, position, loss_start, loss_end (-1: none) and attends (first and
+    end of each interval in turn); conv_ids and leaf (the node in which each conversation ends)."""
     ship(conversations.sparkSession)
     parts = _parts(conversations).withColumnRenamed("conv_id", "id")
     dealt = conversations.join(parts, F.col("conv_id").eqNullSafe(F.col("id"))).select(
@@ -141,55 +151,48 @@ def build_trees(conversations: DataFrame) -> DataFrame:
             at[1].append(conv_id)
         out: list[str] = []
         nodes, leaves, size = [], [], 0
-        stack = [(n, -1, 0) for n in reversed(tree[0].values())]
+        stack = [(n, -1, 0, []) for n in reversed(tree[0].values())]
         while stack:
-            (children, ends, (role, text)), parent, position = stack.pop()
+            (children, ends, (role, text)), parent, position, attends = stack.pop()
             shown = format_turn(role, text)
             me = len(nodes)
-            at = len(START) + len(escape_role(role)) + 1
-            loss = at if role == ASSISTANT else -1
-            nodes.append((parent, size, len(shown), position, loss))
+            masked = (size + len(START) + len(escape_role(role)) + 1, size + len(shown) - len(END) - 1) if role == ASSISTANT else (-1, -1)
+            nodes.append((parent, size, len(shown), position, *masked, attends))
+            below = [*attends[:-1], size + len(shown)] if attends and attends[-1] == size else [*attends, size, size + len(shown)]
             out.append(shown)
             size += len(shown)
             leaves += [(c, me) for c in ends]
-            stack += [(n, me, position + len(shown)) for n in reversed(children.values())]
-        columns = {k: pa.array([list(v)], pa.list_(pa.int64())) for k, v in zip(("parent", "start", "length", "position", "loss"), zip(*nodes))}
+            stack += [(n, me, position + len(shown), below) for n in reversed(children.values())]
+        columns = {k: pa.array([list(v)], pa.list_(pa.int64())) for k, v in zip(NODE, zip(*nodes))}
         return pa.table({
-            "text": ["".join(out)], **columns,
+            "text": ["".join(out)], **columns, "attends": pa.array([[x[-1] for x in nodes]], pa.list_(pa.list_(pa.int64()))),
             "conv_ids": pa.array([[c for c, _ in leaves]], pa.list_(pa.int64())), "leaf": pa.array([[n for _, n in leaves]], pa.list_(pa.int64())),
         })
 
-    arrays = ", ".join(f"{c} array<long>" for c in ("parent", "start", "length", "position", "loss", "conv_ids", "leaf"))
-    return dealt.groupBy("root", "part").applyInArrow(grow, f"text string, {arrays}")
-
-
-def attention(parent: list[int], start: list[int], length: list[int], node: int) -> list[tuple[int, int]]:
-    """[first, end) of the characters that a node's last character attends to, ancestors first."""
-    spans = []
-    while node >= 0:
-        spans.append((start[node], start[node] + length[node]))
-        node = parent[node]
-    return spans[::-1]
+    arrays = ", ".join(f"{c} array<long>" for c in NODE)
+    return dealt.groupBy("root", "part").applyInArrow(grow, f"text string, {arrays}, attends array<array<long>>, conv_ids array<long>, leaf array<long>")
 
 
 def read_trees(trees: DataFrame) -> DataFrame:
     """Every conversation read back from its tree."""
 
     def make():
-        def run(text, parent, start, length, position, loss, conv_ids, leaf):
+        def run(text, start, length, position, loss_start, loss_end, attends, conv_ids, leaf):
             told: dict[int, tuple] = {}
-            of = {a: k for k, a in enumerate(start)}
             for conv_id, node in zip(conv_ids, leaf):
                 if node not in told:
-                    turns, masked, at = [], [], 0
-                    for a, b in attention(parent, start, length, node):
-                        k = of[a]
-                        if position[k] != at:
-                            raise ValueError("position ids don't follow")
-                        at += b - a
-                        turns.append(parse_turn(text[a:b]))
-                        if loss[k] >= 0:
-                            masked.append(unescape(text[a + loss[k] : b - len(END) - 1]))
+                    spans = list(zip(attends[node][::2], attends[node][1::2])) + [(start[node], start[node] + length[node])]
+                    at, masked = 0, []
+                    for a, b in spans:
+                        k = bisect_left(start, a)  # nodes stand in the order of their characters
+                        while k < len(start) and start[k] < b:
+                            if position[k] != at or start[k] + length[k] > b:
+                                raise ValueError("position ids don't follow")
+                            at += length[k]
+                            if loss_start[k] >= 0:
+                                masked.append(unescape(text[loss_start[k] : loss_end[k]]))
+                            k += 1
+                    turns = parse_turns("".join(text[a:b] for a, b in spans))
                     joined = "".join(masked)
                     digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode("utf-8", "surrogatepass"))
                     told[node] = (len(turns), digest.hexdigest(), len(joined), hashlib.sha256(joined.encode("utf-8", "surrogatepass")).hexdigest(), at)
@@ -198,7 +201,7 @@ def read_trees(trees: DataFrame) -> DataFrame:
         return run
 
     return map_rows(
-        trees.select("text", "parent", "start", "length", "position", "loss", "conv_ids", "leaf"),
+        trees.select("text", "start", "length", "position", "loss_start", "loss_end", "attends", "conv_ids", "leaf"),
         make,
         "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",
     )
