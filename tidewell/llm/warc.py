@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, ship, table, written
 
-#: Bytes of html a package holds on average.
+#: Bytes of records at which a package is closed.
 PACKAGE_BYTES = 8_000_000
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Pages carry no time, so records carry this one.
@@ -177,37 +177,43 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes, bytes]:
 
 
 def write_packages(pages: DataFrame, min_bytes: int = 0, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
-    """One row per package: archive, zip."""
-    spark = pages.sparkSession
-    ship(spark)
+    """One row per package: archive (its name), zip. Which package a record is in doesn't matter, so every task packs the rows it has,
+    as many packages as they take; no key gathers rows."""
+    ship(pages.sparkSession)
     html = F.coalesce("html", F.lit(""))
     pages = pages.select(F.col("page_id").cast("long"), "url", html.alias("html"), F.sha1(html).alias("sha"))
-    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    archive = F.pmod(F.xxhash64("page_id", "url"), F.lit(max(1, -(-total // package_bytes)))).cast("int")
-    pages = pages.withColumn("archive", archive)
     long_enough = pages.filter(F.octet_length("html") >= min_bytes)
-    first = long_enough.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null")
-    # Payloads move once, to their packages; only digests are joined.
-    known = long_enough.select("archive", "sha").distinct().join(first.select("sha", "first"), "sha")
-    known = known.select(F.col("archive").alias("package"), F.col("sha").alias("same"), F.col("first").alias("least"))
+    first = long_enough.groupBy("sha").agg(F.min("page_id").alias("least"), F.count("*").alias("n")).filter("n > 1 and least is not null")
+    # a table of its own, so that the join, the one shuffle of payloads, is free to split hot ones
+    first = written(first.select("sha", "least"), "least-pages")
+    rows = pages.join(first.hint("merge"), "sha", "left").select("page_id", "url", "html", "least")
 
-    def package(group, firsts):
+    def package(batches):
         import pyarrow as pa
-
-        of = dict(zip(firsts.column("same").to_pylist(), firsts.column("least").to_pylist()))
-        cols = [group.column(c).to_pylist() for c in ("page_id", "url", "html", "sha", "archive")]
-        data, index = bytearray(), []
-        for page_id, url, text, sha, archive in sorted(zip(*cols), key=lambda r: (r[0] is not None, r[0] or 0, r[3])):
-            payload = text.encode("utf-8", "surrogatepass")
-            least = of.get(sha)
-            refers_to = least if least is not None and page_id is not None and page_id != least and len(payload) >= min_bytes else None
-            record = gzip.compress(_record(page_id, url, payload, digest_of(payload), refers_to), 2, mtime=0)
-            index.append(json.dumps({"page_id": page_id, "offset": len(data), "length": len(record)}))
-            data += record
-        packed = write_zip([(DATA, bytes(data)), (INDEX, "\n".join(index).encode())])
-        return pa.table({"archive": pa.array([cols[4][0]] if index else [], pa.int32()), "zip": pa.array([packed] if index else [], pa.binary())})
-
-    return pages.groupBy("archive").cogroup(known.groupBy("package")).applyInArrow(package, "archive int, zip binary")
+        from pyspark import TaskContext
+
+        data, index, made = bytearray(), [], 0
+
+        def closed():
+            nonlocal data, index, made
+            packed = write_zip([(DATA, bytes(data)), (INDEX, "\n".join(index).encode())])
+            name = f"{TaskContext.get().partitionId():06d}-{made:06d}.wacz"
+            data, index, made = bytearray(), [], made + 1
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([packed], pa.binary())], names=["archive", "zip"])
+
+        for b in batches:
+            for page_id, url, text, least in zip(*(c.to_pylist() for c in b.columns)):
+                payload = text.encode("utf-8", "surrogatepass")
+                refers_to = least if page_id is not None and page_id != least and len(payload) >= min_bytes else None
+                record = gzip.compress(_record(page_id, url, payload, digest_of(payload), refers_to), 2, mtime=0)
+                index.append(json.dumps({"page_id": page_id, "offset": len(data), "length": len(record)}))
+                data += record
+                if len(data) >= package_bytes:
+                    yield closed()
+        if index:
+            yield closed()
+
+    return rows.mapInArrow(package, "archive string, zip binary")
 
 
 def read_packages(packages: DataFrame) -> DataFrame:
