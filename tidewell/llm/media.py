@@ -6,8 +6,9 @@ chunks wherever they stand. Spark joins find one owner for each chunk digest; th
 in its owner's row only, and an ordered chunk list for every different payload. Reading back joins the few
 foreign chunks to the lists, verifies every digest and puts the payloads together again.
 
-The stored form of a media object, which media_bytes and media_sha256 describe, is its ordered chunk list (magic,
-unpadded size, then digest and length of each chunk) followed by the samples of its chunks in order.
+The stored form of a media object, which media_bytes and media_sha256 describe, is its row of the store: the ordered chunk
+list (magic, unpadded size, then digest and length of each chunk) followed by the samples of the chunks it owns, in
+order. It is hashed as it is read back.
 
 Defined cases
 * null or empty text: 64 zero samples. Equal texts give equal values in every column but doc_id.
@@ -129,7 +130,9 @@ def write_media(docs: DataFrame) -> MediaStore:
         .select("media_id", F.explode(F.array_distinct("digests")).alias("digest"))
     )
     common = refs.groupBy("digest").agg(F.min("media_id").alias("owner"), F.count("*").alias("n")).filter("n > 1")
-    roles = refs.join(common.select("digest", "owner"), "digest").select(
+    # a table of its own, so that the join is free to split hot chunks
+    common = written(common.select("digest", "owner"), "common-chunks")
+    roles = refs.join(common, "digest").select(
         "media_id",
         F.when(F.col("owner") == F.col("media_id"), F.col("digest")).alias("lent"),
         F.when(F.col("owner") != F.col("media_id"), F.col("digest")).alias("borrowed"),
@@ -196,15 +199,15 @@ def read_media(store: MediaStore) -> DataFrame:
                 if len(part) != length or hashlib.blake2b(part, digest_size=16).digest() != digest:
                     raise ValueError("a stored chunk doesn't match its digest")
                 parts.append(part)
-            payload = b"".join(parts)
+            payload, own = b"".join(parts), b"".join(samples)
             yield (
                 _media_id(stored),
                 n_bytes,
                 len(payload),
                 hashlib.sha256(payload).hexdigest(),
                 zlib.crc32(payload[-UNIT:]),
-                len(stored) + len(payload),
-                hashlib.sha256(stored + payload).hexdigest(),
+                len(stored) + len(own),
+                hashlib.sha256(stored + own).hexdigest(),
                 feature_of(payload),
             )
 
