@@ -248,7 +248,8 @@ def parsed(docs: DataFrame, window: int = MIN_WORDS, with_text: bool = False) ->
 
 def drop_repeats(docs: DataFrame, window: int = MIN_WORDS) -> DataFrame:
     """The same rows; where words were removed, text holds the others joined by one space."""
-    found = parsed(docs, window, with_text=True).filter("n_removed > 0").select("c1", "c2", "kept_text")
+    # a table of its own, so that the join is free to split hot texts
+    found = written(parsed(docs, window, with_text=True).filter("n_removed > 0").select("c1", "c2", "kept_text"), "kept-texts")
     row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
     out = with_text_key(row).join(found, ["c1", "c2"], "left")
     return out.select(*[(F.coalesce("kept_text", "row.text") if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
@@ -257,7 +258,8 @@ def drop_repeats(docs: DataFrame, window: int = MIN_WORDS) -> DataFrame:
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     keyed = with_text_key(docs).select("doc_id", "c1", "c2")
-    return keyed.join(parsed(docs), ["c1", "c2"]).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    found = written(parsed(docs).select("c1", "c2", "n_words", "n_removed", "kept_sha256"), "parsed")  # so that hot texts can be split
+    return keyed.join(found, ["c1", "c2"]).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 SQL = r"""
