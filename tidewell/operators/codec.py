@@ -86,6 +86,15 @@ def pack_headers(series, count, t0, dt_bits, bias, scale, payload_crc) -> list[b
     return [h + struct.pack("<I", c) for h, c in zip(heads, crcs.tolist())]
 
 
+def is_blank(page: Column) -> Column:
+    """Whether a stored page is erased: 256 bytes, all 0xFF."""
+    return page == F.unhex(F.repeat(F.lit("FF"), 256))
+
+
+def blank(page: bytes) -> bool:
+    return not page.strip(b"\xff")
+
+
 def unpack_header(image: bytes) -> dict | None:
     """Fields, or None where the magic or the checksum is wrong."""
     magic, series, count, t0, dt_bits, _, bias, scale, payload_crc = HEADER.unpack(image[:28])
@@ -115,6 +124,57 @@ def unpack_footer(image: bytes) -> dict | None:
     return {"seg_seqno": seqno, "t_min": t_min, "t_max": t_max, "block_count": count, "series_set": [s for s in range(256) if bitmap[s >> 3] >> (s & 7) & 1]}
 
 
+def packed_footers(zones: DataFrame) -> DataFrame:
+    """seg_seqno and footer image of zones (seg_seqno, t_min, t_max on the 32-bit clock, block_count, series_set)."""
+    ship(zones.sparkSession)
+
+    def pack(batches):
+        import pyarrow as pa
+
+        names = ("seg_seqno", "t_min", "t_max", "block_count", "series_set")
+        for b in batches:
+            images = [pack_footer(*row) for row in zip(*(b.column(n).to_pylist() for n in names))]
+            yield pa.RecordBatch.from_arrays([b.column("seg_seqno"), pa.array(images, pa.binary())], names=["seg_seqno", "footer"])
+
+    return zones.select("seg_seqno", "t_min", "t_max", "block_count", "series_set").mapInArrow(pack, "seg_seqno long, footer binary")
+
+
+def read_footers(footers: DataFrame) -> DataFrame:
+    """Fields of the footers whose magic and checksum hold: the footer scan."""
+    ship(footers.sparkSession)
+
+    def read(batches):
+        import pyarrow as pa
+
+        names = ("seg_seqno", "t_min", "t_max", "block_count")
+        for b in batches:
+            got = [f for f in map(unpack_footer, b.column("footer").to_pylist()) if f]
+            cols = [pa.array([f[n] for f in got], pa.int64()) for n in names] + [pa.array([f["series_set"] for f in got], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, "series_set"])
+
+    return footers.select("footer").mapInArrow(read, "seg_seqno long, t_min long, t_max long, block_count long, series_set array<int>")
+
+
+def checked(blocks: DataFrame) -> DataFrame:
+    """blocks (header, payload) with ok: whether magic and both checksums hold."""
+    ship(blocks.sparkSession)
+    kept = [f for f in blocks.schema.fields]
+
+    def check(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            heads = [unpack_header(h) for h in b.column("header").to_pylist()]
+            payloads = b.column("payload").to_pylist()
+            crcs = [int(checksums(np.frombuffer(p, "u1").reshape(1, -1))[0]) for p in payloads]
+            ok = pa.array([h is not None and h["payload_crc"] == c for h, c in zip(heads, crcs)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*b.columns, ok], names=[*b.schema.names, "ok"])
+
+    from pyspark.sql.types import BooleanType, StructField, StructType
+
+    return blocks.mapInArrow(check, StructType([*kept, StructField("ok", BooleanType())]))
+
+
 def pack_snapshot(epoch_id: int, head: int, tail: int, head_addr: int, version: int = 1) -> bytes:
     return _sealed(SNAPSHOT.pack(version, epoch_id, head, tail, head_addr))
 

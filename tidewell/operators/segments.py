@@ -15,12 +15,12 @@ def capacity(flash_bytes: int) -> int:
     return (flash_bytes - META_BYTES) // SEGMENT_BYTES
 
 
-def assigned(rows: DataFrame) -> DataFrame:
+def assigned(rows: DataFrame, chunk: int | None = None) -> DataFrame:
     """One row per block of rows (series, blk, event_id, ts64): block_no by last event, segment, page."""
     blocks = rows.groupBy("series", "blk").agg(
         F.max("event_id").alias("last_event_id"), F.count("*").alias("cnt"), F.min("ts64").alias("t_min"), F.max("ts64").alias("t_max")
     )
-    out = numbered(blocks, [], "last_event_id", "block_no")
+    out = numbered(blocks, [], "last_event_id", "block_no", chunk)
     segment = F.floor(F.col("block_no") / BLOCKS).cast("long")
     return out.withColumns({"segment_no": segment, "page_no": F.col("block_no") % BLOCKS, "seg_seqno": segment + 1})
 
@@ -41,11 +41,15 @@ def pruned(zones: DataFrame, series: int | None, t0: int, t1: int) -> DataFrame:
     return zones.where(hit if series is None else hit & F.array_contains("series_set", series))
 
 
-def pruned_range(rows: DataFrame, blocks: DataFrame, zones: DataFrame, series: int, t0: int, t1: int) -> DataFrame:
-    """Only blocks of candidate segments are read; the row filter decides. Same rows as the plain scan."""
-    kept = blocks.where(F.col("series") == series).join(pruned(zones, series, t0, t1).select("segment_no"), "segment_no", "left_semi")
+def pruned_range(rows: DataFrame, zones: DataFrame, series: int, t0: int, t1: int) -> DataFrame:
+    """Only files and row groups of candidate segments are read; the row filter decides. Same rows as the plain scan."""
+    candidates = pruned(zones, series, t0, t1).select("segment_no")
+    low, high = candidates.agg(F.min("segment_no"), F.max("segment_no")).first()  # bounds for the scan
     hit = (F.col("series") == series) & F.col("ts64").between(t0, t1)
-    return rows.where(hit).join(kept.select("series", "blk"), ["series", "blk"], "left_semi").select("event_id", "ts64", "value")
+    if low is None:
+        return rows.where(F.lit(False)).select("event_id", "ts64", "value")
+    rows = rows.where(hit & F.col("segment_no").between(low, high))
+    return rows.join(candidates, "segment_no", "left_semi").select("event_id", "ts64", "value")
 
 
 def ring(blocks: DataFrame, capacity: int) -> DataFrame:

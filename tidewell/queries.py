@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import codec, epoch, packing, recovery, scan, segments
+from .operators.rank import CHUNK
 from .plans.samples import events, samples, ticks
+from .plans.stored import stored
 from .sources import io
 
 RING, BAD_EVERY, QUOTA_S = 8, 37, 600
@@ -16,28 +18,27 @@ def _valid():
     return F.col("block_no") % BAD_EVERY != 0
 
 
-def _fixed(spark: SparkSession, d: str) -> DataFrame:
-    return packing.with_deltas(packing.fixed_blocks(samples(spark, d)))
+# the event ids of these tables have no gaps, so CHUNK of them are a chunk
 
 
-def _rows64(spark: SparkSession, d: str) -> DataFrame:
-    return packing.fixed_blocks(epoch.unwrapped(samples(spark, d)))
+def _fixed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.with_deltas(packing.fixed_blocks(samples(spark, d), chunk=CHUNK))
 
 
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
-    return segments.assigned(_rows64(spark, d))
+    return stored(spark, d).blocks
 
 
 def _zones(spark: SparkSession, d: str) -> DataFrame:
-    return segments.zone_map(_blocks(spark, d))
+    return stored(spark, d).zones
 
 
 def _tick_rows(spark: SparkSession, d: str) -> DataFrame:
-    return packing.fixed_blocks(ticks(spark, d)).withColumn("ts64", F.col("ts_ms"))
+    return packing.fixed_blocks(ticks(spark, d), chunk=CHUNK).withColumn("ts64", F.col("ts_ms"))
 
 
 def _greedy(spark: SparkSession, d: str) -> DataFrame:
-    return packing.with_deltas(packing.greedy_blocks(ticks(spark, d)))
+    return packing.with_deltas(packing.greedy_blocks(ticks(spark, d), CHUNK))
 
 
 def _images(spark: SparkSession, d: str) -> DataFrame:
@@ -55,11 +56,11 @@ def range_limit(spark, d):
 
 
 def epoch_unwrap(spark, d):
-    return epoch.unwrapped(samples(spark, d)).groupBy("epoch_id").agg(F.count("*").alias("n"))
+    return epoch.unwrapped(samples(spark, d), CHUNK).groupBy("epoch_id").agg(F.count("*").alias("n"))
 
 
 def block_pack_runs(spark, d):
-    return packing.run_blocks(samples(spark, d)).select("event_id", "series", "run_start", "blk")
+    return packing.run_blocks(samples(spark, d), chunk=CHUNK).select("event_id", "series", "run_start", "blk")
 
 
 def delta_decode(spark, d):
@@ -90,9 +91,9 @@ def header_roundtrip(spark, d):
         import pyarrow as pa
 
         for b in batches:
-            got = [codec.unpack_header(h) for h in b.column("header").to_pylist()]
+            got = [codec.unpack_header(h) or {} for h in b.column("header").to_pylist()]  # a damaged header has no fields
             names, kinds = ("series", "cnt", "t0_ms", "dt_bits", "bias", "scale"), (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.float32(), pa.float32())
-            yield pa.RecordBatch.from_arrays([b.column("blk"), *(pa.array([g[n] for g in got], k) for n, k in zip(names, kinds))], names=["blk", *names])
+            yield pa.RecordBatch.from_arrays([b.column("blk"), *(pa.array([g.get(n) for g in got], k) for n, k in zip(names, kinds))], names=["blk", *names])
 
     return _images(spark, d).select("blk", "header").mapInArrow(fields, "blk long, series int, cnt long, t0_ms long, dt_bits int, bias float, scale float")
 
@@ -106,14 +107,12 @@ def zone_prune(spark, d):
 
 
 def zone_prune_time(spark, d):
-    zones = segments.zone_map(segments.assigned(_tick_rows(spark, d)))
+    zones = segments.zone_map(segments.assigned(_tick_rows(spark, d), CHUNK))
     return segments.pruned(zones, None, 1_705_276_800, 1_705_363_199).select("segment_no", "seg_seqno")
 
 
 def range_query_pruned(spark, d):
-    rows = _rows64(spark, d)
-    blocks = segments.assigned(rows)
-    return segments.pruned_range(rows, blocks, segments.zone_map(blocks), 7, 3_000_000_000, 3_500_000_000)
+    return segments.pruned_range(stored(spark, d).rows, _zones(spark, d), 7, 3_000_000_000, 3_500_000_000)
 
 
 def gc_quota(spark, d):
@@ -121,9 +120,13 @@ def gc_quota(spark, d):
     return segments.quota(events(spark, d).select("event_id", at.alias("at_s")), QUOTA_S)
 
 
-def _rows_of(spark, d, kept):
-    rows = _rows64(spark, d)
-    return rows.join(kept(segments.assigned(rows)).select("series", "blk", "segment_no"), ["series", "blk"]).select("event_id", "segment_no", "ts_ms")
+def recovery_prefix(spark, d):
+    kept = recovery.prefix(_blocks(spark, d), _valid()).select("segment_no", "page_no")
+    return stored(spark, d).rows.join(kept, ["segment_no", "page_no"], "left_semi").select("event_id", "segment_no", "ts_ms")
+
+
+def crc_isolation(spark, d):
+    return recovery.isolated(stored(spark, d).rows, _valid()).select("event_id", "segment_no", "ts_ms")
 
 
 def crc_error_count(spark, d):
@@ -132,7 +135,7 @@ def crc_error_count(spark, d):
 
 
 def snapshot_row(spark, d):
-    return recovery.snapshot(segments.ring(_blocks(spark, d), RING), epoch.unwrapped(samples(spark, d)))
+    return recovery.snapshot(segments.ring(_blocks(spark, d), RING), stored(spark, d).rows)
 
 
 def snapshot_select(spark, d):
@@ -144,7 +147,7 @@ def info_stats(spark, d):
     blocks = _blocks(spark, d)
     ring = segments.ring(blocks, RING).agg(F.max("seg_seqno").alias("seg_seq_head"), F.min("seg_seqno").alias("seg_seq_tail"))
     counts = blocks.agg(F.count("*").alias("blocks_written"), F.count_if(~_valid()).alias("crc_errors"))
-    marks = segments.watermarks(segments.zone_map(blocks)).agg(F.count_if("warn").alias("gc_warn_events"), F.count_if("busy").alias("gc_busy_events"))
+    marks = segments.watermarks(_zones(spark, d)).agg(F.count_if("warn").alias("gc_warn_events"), F.count_if("busy").alias("gc_busy_events"))
     cut = recovery.truncations(blocks, _valid()).agg(F.count("*").alias("recovery_truncations"))
     one = F.lit(True)  # each side is one row
     return ring.join(counts, one).join(marks, one).join(cut, one)
@@ -186,9 +189,9 @@ QUERIES = {
     "latest_all": lambda s, d: scan.latest(samples(s, d)),
     "latest_missing": lambda s, d: scan.latest(samples(s, d), 255),
     "epoch_unwrap": epoch_unwrap,
-    "ts64_unwrapped": lambda s, d: epoch.unwrapped(samples(s, d)).select("event_id", "epoch_id", "ts64"),
-    "block_pack_fixed": lambda s, d: packing.fixed_blocks(samples(s, d)).select("event_id", "series", "blk"),
-    "block_pack_greedy": lambda s, d: packing.greedy_blocks(ticks(s, d)).select("event_id", "series", "blk"),
+    "ts64_unwrapped": lambda s, d: epoch.unwrapped(samples(s, d), CHUNK).select("event_id", "epoch_id", "ts64"),
+    "block_pack_fixed": lambda s, d: packing.fixed_blocks(samples(s, d), chunk=CHUNK).select("event_id", "series", "blk"),
+    "block_pack_greedy": lambda s, d: packing.greedy_blocks(ticks(s, d), CHUNK).select("event_id", "series", "blk"),
     "block_pack_runs": block_pack_runs,
     "delta_encode": lambda s, d: _fixed(s, d).select("event_id", "series", "blk", "row_in_blk", "delta"),
     "delta_decode": delta_decode,
@@ -212,9 +215,9 @@ QUERIES = {
     "gc_watermarks": lambda s, d: segments.watermarks(_zones(s, d)),
     "gc_victims": lambda s, d: segments.victims(_zones(s, d)),
     "gc_quota": gc_quota,
-    "recovery_prefix": lambda s, d: _rows_of(s, d, lambda b: recovery.prefix(b, _valid())),
+    "recovery_prefix": recovery_prefix,
     "recovery_truncations": lambda s, d: recovery.truncations(_blocks(s, d), _valid()),
-    "crc_isolation": lambda s, d: _rows_of(s, d, lambda b: recovery.isolated(b, _valid())),
+    "crc_isolation": crc_isolation,
     "crc_error_count": crc_error_count,
     "snapshot_row": snapshot_row,
     "snapshot_select": snapshot_select,

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import g9
 from ..operators.scan import clamped, series_range
 
+#: Rows of a ramp that one task sums up.
+RAMP_ROWS = 1 << 20
 #: Fixed value: the patterns of the command lines.
 PATTERNS = {"w": r"^w (\d+) (\d+) ([-+.\deE]+)$", "f": r"^f$", "s": r"^s$", "l": r"^l (\d+)$", "e": r"^e (\d+) (\d+) (\d+)$"}
 
@@ -17,13 +20,27 @@ def generated(spark: SparkSession, rows: int, period_ms: int = 100, start: int =
     i = F.col("id")
     if not accumulate:
         return spark.range(rows).select((start + i * period_ms).alias("ts_ms"), (F.lit(25.0) + F.lit(0.1) * i).cast("float").alias("value"))
-    step = F.aggregate(F.sequence(F.lit(1), F.greatest(i, F.lit(1))), F.lit(25.0).cast("float"), lambda a, _: (a + F.lit(0.1).cast("float")).cast("float"))
-    return spark.range(rows).select((start + i * period_ms).alias("ts_ms"), F.when(i == 0, F.lit(25.0).cast("float")).otherwise(step).alias("value"))
+    # single-precision sums depend on all before them: one pass in the driver gives what each chunk starts from
+    firsts, value = [], np.float32(25)
+    for at in range(0, rows, RAMP_ROWS):
+        firsts.append((at, float(value)))
+        value = np.cumsum(np.r_[value, np.full(min(RAMP_ROWS, rows - at), 0.1, "f4")], dtype="f4")[-1]
+
+    def ramp(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for at, first in zip(*(b.column(n).to_pylist() for n in ("at", "first"))):
+                n = min(RAMP_ROWS, rows - at)
+                values = np.cumsum(np.r_[np.float32(first), np.full(n - 1, 0.1, "f4")], dtype="f4")
+                yield pa.RecordBatch.from_arrays([pa.array(start + period_ms * np.arange(at, at + n)), pa.array(values)], names=["ts_ms", "value"])
+
+    return spark.createDataFrame(firsts, "at long, first float").repartition(max(1, len(firsts))).mapInArrow(ramp, "ts_ms long, value float")
 
 
 def store(samples: DataFrame, path: str, mode: str = "append") -> None:
-    """Parquet laid out for pruning: a folder per series, files sorted by time with their own bounds."""
-    samples.repartition("series").sortWithinPartitions("series", "ts_ms").write.mode(mode).partitionBy("series").parquet(path)
+    """Parquet laid out for pruning: a folder per series, files sorted by time with their own bounds; a long series takes many files."""
+    samples.repartitionByRange("series", "ts_ms").sortWithinPartitions("series", "ts_ms").write.mode(mode).partitionBy("series").parquet(path)
 
 
 def csv_lines(samples: DataFrame, series: int, t0: int, t1: int) -> DataFrame:
