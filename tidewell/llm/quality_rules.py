@@ -1,6 +1,6 @@
 """Quality rules: counted base rules, then a hashed n-gram log-likelihood ratio (DataFrame functions only).
 
-Words and word pairs fall into `BUCKETS` hash buckets. Two multinomials are counted: the raw corpus over
+Words and word pairs fall into hash buckets, whose number grows with the square root of the corpus as its distinct words do. Two multinomials are counted: the raw corpus over
 all documents, and the trusted target over labelled documents (quality 1, not toxic; at most `TARGET_DOCS`
 of them, those of the least id hash, which bounds what is broadcast). A document's score is the sum over its
 n-grams of log(p_target / p_raw), divided by their number. Bucket weights are rounded to integers, so sums
@@ -22,12 +22,16 @@ Defined cases
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, with_text_key, words, written
 
-BUCKETS = 1 << 15
+#: Hash buckets: a power of two, of at least so many times the square root of the corpus's words (of six bytes); the least and the most,
+#: which bounds what is broadcast (the most is reached at about a terabyte of text).
+BUCKETS_A_ROOT, LEAST_BUCKETS, MOST_BUCKETS = 8, 1 << 15, 1 << 22
 TARGET_DOCS = 50_000
 #: Weights are kept as multiples of 1 / SCALE.
 SCALE = 1 << 20
@@ -118,11 +122,17 @@ def base_features(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", failed)
 
 
-def _buckets(w: Column) -> Column:
+def buckets_for(docs: DataFrame) -> int:
+    """From the bytes of all texts."""
+    n = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << math.ceil(math.log2(BUCKETS_A_ROOT * math.sqrt(n / 6 + 1)))))
+
+
+def _buckets(w: Column, buckets: int = LEAST_BUCKETS) -> Column:
     """Hash buckets of all words and word pairs. `w` must be a column by itself: an expression would be
     evaluated anew for every word."""
-    one = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int"))
-    two = F.transform(w, lambda x, i: F.when(i > 0, F.pmod(F.xxhash64(F.get(w, i - 1), x), F.lit(BUCKETS)).cast("int")))
+    one = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int"))
+    two = F.transform(w, lambda x, i: F.when(i > 0, F.pmod(F.xxhash64(F.get(w, i - 1), x), F.lit(buckets)).cast("int")))
     return F.array_compact(F.concat(one, two))
 
 
@@ -156,13 +166,13 @@ def best_threshold(scored: DataFrame, labels: DataFrame) -> float:
     return (best[1] + best[2]) / 2 / STEPS
 
 
-def bucket_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, weight long): at most BUCKETS rows, whatever the size of the corpus."""
+def bucket_weights(docs: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, weight long): at most `buckets` rows."""
     ids = F.broadcast(trusted_ids(labels))  # at most TARGET_DOCS rows
     grams = (
         docs.join(ids, docs["doc_id"] == ids["trusted_id"], "left")
         .select(F.col("trusted_id").isNotNull().cast("long").alias("t"), words(F.col("text")).alias("w"))
-        .select("t", F.explode(_buckets(F.col("w"))).alias("bucket"))
+        .select("t", F.explode(_buckets(F.col("w"), buckets)).alias("bucket"))
     )
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
     counts = written(counts, "gram-counts")
@@ -176,11 +186,12 @@ def bucket_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def scored(docs: DataFrame, labels: DataFrame, carry: list[str]) -> DataFrame:
     """Per row of docs (doc_id, text and `carry`): doc_id, carry, base columns, score, kept."""
-    weights = F.broadcast(bucket_weights(docs.select("doc_id", "text"), labels))  # at most BUCKETS rows
+    buckets = buckets_for(docs)
+    weights = F.broadcast(bucket_weights(docs.select("doc_id", "text"), labels, buckets))  # at most MOST_BUCKETS rows of 12 bytes
     base = base_features(docs.select(*carry, F.col("doc_id").cast("long"), "text")).drop("text").withColumn("rid", F.monotonically_increasing_id())
     grams = base.select(
         *[c for c in base.columns if c not in ("w", "filled", "starts")],
-        F.explode_outer(_buckets(F.col("w"))).alias("bucket"),
+        F.explode_outer(_buckets(F.col("w"), buckets)).alias("bucket"),
     )
     keys = [c for c in grams.columns if c != "bucket"]
     out = grams.join(weights, "bucket", "left").groupBy(*keys).agg(
