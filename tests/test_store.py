@@ -205,3 +205,61 @@ def test_numbering_of_sparse_ids(spark):
         want[k] += 1
     assert {r.event_id: r.n for r in numbered(df, ["k"], "event_id", "n").collect()} == rank
     assert df.select(chunk_of(df, "event_id", None).alias("c")).distinct().count() < 5
+
+
+def test_commands_act_on_a_store(spark, tmp_path):
+    from tidewell.streaming.dispatch import Dispatcher
+
+    with Store(spark, str(tmp_path / "s")) as s:
+        d = Dispatcher(s)
+        lines = ["w 1 0 2.5", "w 1 10 2.5", "l 1", "f", "l 1", "w 1 20 2.5", "w 999 5 1", "bad", "e 1 0 100", "e 1", "s", "w 2 7 1"]
+        df = spark.createDataFrame(list(enumerate(lines)), "line_no long, line string").repartition(3)
+        assert list(d.act(df)) == [
+            (2, "OK 0 0.000000"), (3, "OK"), (4, "OK 10 2.500000"), (7, "ERR"), (8, "0,2.5"), (8, "10,2.5"), (8, "END"), (9, "ERR"), (10, "OK"),
+        ]
+        assert d.replies(df).where("reply = 'OK'").count() == 10 and codec.unpack_snapshot((Path(s.path) / "meta/A.bin").read_bytes())["seg_seq_head"] == 1
+        assert list(d.act(spark.createDataFrame([(0, "f"), (1, "l 2"), (2, "l 1")], "line_no long, line string"))) == [(0, "OK"), (1, "OK 7 1.000000"), (2, "OK 20 2.500000")]
+
+
+class State:
+    """What the builder needs of a group's state."""
+
+    def __init__(self):
+        self.exists, self.hasTimedOut, self.get, self.timeout = False, False, None, None
+
+    def update(self, value):
+        self.exists, self.get, self.timeout = True, value, None
+
+    def setTimeoutDuration(self, ms):  # noqa: N802
+        self.timeout = ms
+
+
+def test_a_timer_closes_open_blocks():
+    import pandas as pd
+
+    from tidewell.streaming import ingest
+
+    state = State()
+    arrive = lambda ids: [pd.DataFrame({"series": 1, "ts_ms": [i * 10 for i in ids], "value": 1.0, "event_id": ids})]
+    assert list(ingest._build((1,), arrive([0, 1, 2]), state, 500)) == [] and state.timeout == 500
+    state.hasTimedOut = True
+    closed = list(ingest._build((1,), iter([]), state, 500))
+    assert [len(c) for c in closed] == [3] and state.timeout is None
+    assert list(ingest._build((1,), iter([]), state, 500)) == []  # nothing is open
+    state.hasTimedOut = False
+    (block,) = ingest._build((1,), arrive(list(range(3, 80))), state, 500)
+    assert block["blk"].tolist() == [1] * 74 and block["event_id"].iloc[0] == 3
+
+
+def test_live_counters_and_retention(spark, tmp_path):
+    from tidewell.streaming import ingest
+
+    for k in range(4):  # 20 blocks of one series each
+        frame(spark, [(1, (k * 1480 + i) * 10, i) for i in range(1480)], k * 1480).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    ingest.run(ingest.sample_stream(spark, str(tmp_path / "in")), out, str(tmp_path / "cp"), retain_segments=2).awaitTermination(200)
+    now = ingest.counters(spark, out)
+    assert now == {"blocks_written": 79, "rows_written": 79 * 74, "seg_seq_head": 6, "batches": 4}
+    kept = spark.read.parquet(*[str(p) for p in Path(out).glob("batch=*")])
+    assert [p.name for p in Path(out).glob("batch=*")] == ["batch=3"] and kept.agg(F.min("seg_seqno")).first()[0] == 4  # the others end at 4 at most
+    assert kept.where("row_in_blk = 0").groupBy("seg_seqno").count().where("count > 15").count() == 0

@@ -270,6 +270,12 @@ g(series, rn, blk, cnt, wide) AS (
 k AS (SELECT n.series, ts_ms, value, event_id, g.blk FROM n JOIN g ON n.series = g.series AND n.rn = g.rn)"""
 _GR = _G + """, x AS (SELECT *, row_number() OVER (PARTITION BY series, blk ORDER BY event_id) - 1 AS row_in_blk,
   coalesce(ts_ms - lag(ts_ms) OVER (PARTITION BY series, blk ORDER BY event_id), 0) AS delta FROM k), h AS (""" + _HEAD.format(r="x") + ")"
+_P = _GR + ", y AS (" + _Q.format(r="x") + """), p AS (SELECT series, blk,
+    rpad(string_agg(CASE WHEN dt_bits = 8 THEN printf('%02x', delta) ELSE printf('%02x%02x', delta & 255, delta >> 8) END, '' ORDER BY row_in_blk)
+      || string_agg(printf('%02x%02x', qval & 255, (qval >> 8) & 255), '' ORDER BY row_in_blk), 448, 'f') AS payload_hex FROM y GROUP BY series, blk)"""
+_CRC = _P + """, d AS (SELECT series, blk, list_transform(range(0, 224), lambda i: cast('0x' || substr(payload_hex, cast(2 * i + 1 AS BIGINT), 2) AS BIGINT)) AS bytes FROM p)
+  SELECT series, blk, xor(list_reduce(bytes, lambda c, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+    lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 517762881) ELSE x >> 1 END, xor(c, b)), cast(4294967295 AS BIGINT)), 4294967295) AS payload_crc FROM d"""
 _WRAP = """CASE WHEN (({b} - {a}) & 4294967295) < 2147483648
   THEN ((ts_ms - {a}) & 4294967295) < 2147483648 AND (({b} - ts_ms) & 4294967295) < 2147483648
   ELSE ((ts_ms - {a}) & 4294967295) < 2147483648 OR (({b} - ts_ms) & 4294967295) < 2147483648 END"""
@@ -304,6 +310,8 @@ SQL = {
       SELECT count(*) AS n, count(*) FILTER (WHERE r <= 0.5) AS within_half, round(max(r), 6) AS worst FROM y""",
     "block_sizes": f"WITH {_H} SELECT series, blk, cnt * (dt_bits // 8 + 2) AS used_bytes, 224 - cnt * (dt_bits // 8 + 2) AS slack_bytes, round(cast(256 AS DOUBLE) / (cast(10 AS DOUBLE) * cnt), 6) AS ratio FROM h",
     "payload_roundtrip": f"WITH RECURSIVE {_GR}, y AS (" + _Q.format(r="x") + ") SELECT series, blk, row_in_blk, ts_ms, qval FROM y",
+    "payload_encode": f"WITH RECURSIVE {_P} SELECT series, blk, payload_hex FROM p",
+    "block_checksum": f"WITH RECURSIVE {_CRC}",
     "header_roundtrip": f"WITH RECURSIVE {_GR} SELECT blk, series, cnt, t0_ms, dt_bits, bias, scale FROM h",
     "segment_assign": f"WITH {_B} SELECT series, blk, block_no, segment_no, page_no, seg_seqno FROM b",
     "zone_map": f"WITH {_Z} SELECT * FROM z",
