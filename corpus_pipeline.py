@@ -1,4 +1,9 @@
-"""A corpus made ready for training: five stages, each on all that the one before it kept."""
+"""A corpus made ready for training: five stages, each on all that the one before it kept.
+
+Defined cases, as the stages' own modules state them: texts that are null, empty or under 50 words go with the first stage; rows that
+repeat a doc_id are judged one by one, count as one document for lines and near copies, and are packed one by one; rows with a
+null doc_id are never near copies; an empty table gives no rows; further columns are carried untouched up to the packing.
+"""
 
 from __future__ import annotations
 
