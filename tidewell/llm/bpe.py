@@ -7,23 +7,26 @@ one flat buffer: a broadcast of bounded size (`LEXICON_WORDS` words) that each w
 that it doesn't hold are merged exactly, pair by pair in rank order.
 
 No word crosses ASCII white space, so texts are split there first and each different token is looked up once per task.
+Tokens of ASCII and other common Latin letters, digits and signs, which the normaliser only lower-cases, are split here; all others go
+through the vocabulary file's normaliser and word pattern as the library has them, so both know the same characters.
 
 Defined cases
 * null or empty text: no tokens; the digests are those of the empty string.
 * repeated rows and null ids: every row is encoded by itself. Empty table: empty result.
 * special tokens written in a text become their ids, as the tokenizers library does by default.
+* very long tokens: merged through a heap, in time n log n; they aren't remembered, which bounds a worker's memory.
 * other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import mmap
 import os
+import re
 import struct
-import unicodedata
-from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -31,11 +34,18 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, ship, table
+from .common import map_rows, ship, table, written
 
 LEXICON_WORDS = 50_000
-#: Entries of a worker's memo of finished words; it is emptied when full.
-MEMO_WORDS = 400_000
+#: Entries of a worker's memos of finished words and tokens, of at most so many bytes each; they are emptied when full.
+MEMO_WORDS, MEMO_BYTES = 600_000, 64
+#: Texts whose characters are all common, and their words once they are in lower case: the file's pattern for just these characters.
+COMMON = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+").fullmatch
+COMMON_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u017f]+|[0-9]|[^a-z0-9\u00df-\u017f]+").findall
+#: Stands for the end of a word; no UTF-8 text has this byte.
+END_BYTE = b"\xff"
+#: Symbols of a word beyond which pairs are kept in a heap.
+LONG_WORD = 64
 
 
 def byte_alphabet() -> list[str]:
@@ -45,57 +55,141 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+class Apart(dict):
+    """(token, next token or None) -> whether exact merging of their letters gives just these."""
+
+    def __init__(self, model: WordBpe):
+        self.model = model
+
+    def __missing__(self, pair):
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        ids = [i for i in pair if i is not None]
+        word = b"".join(self.model.spelt[i] for i in ids)
+        ends = word[-1:] == END_BYTE
+        out = self[pair] = self.model.merged(self.model.symbols(word[: len(word) - ends], ends)) == ids
+        return out
+
+
 class WordBpe:
     """The vocabulary file's model: normaliser, word pattern, merges."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.tokens = {i: t for t, i in self.vocab.items()}
-        self.end = model["end_of_word_suffix"] or ""
-        pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        self.ranks = {(a, b): k for k, (a, b) in enumerate(pairs)}
+        end = model["end_of_word_suffix"] or ""
+        # symbols are numbers: those of the vocabulary, and further ones for bytes that it lacks
+        alphabet = byte_alphabet()
+        self.byte_of = {c: b for b, c in enumerate(alphabet)}
+        spare = iter(range(max(self.tokens) + 1, 1 << 31))
+        number = lambda t: self.vocab[t] if t in self.vocab else next(spare)
+        self.inner, self.last = ([number(c + e) for c in alphabet] for e in ("", end))
+        self.known = frozenset(self.tokens)
+        #: pair of symbols -> rank and merged symbol, as one number
+        self.merges: dict[tuple[int, int], int] = {}
+        for rank, m in enumerate(model["merges"]):
+            a, b = m.split(" ") if isinstance(m, str) else m
+            self.merges[self.vocab[a], self.vocab[b]] = rank << 32 | self.vocab[a + b]
+        self.apart, self.propose = Apart(self), self._proposer(end)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens |= {i: t for t, i in self.special.items()}
-        split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words_of = regex.compile(split["pattern"]["Regex"], regex.V1).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.alphabet = byte_alphabet()
+        rules = Tokenizer.from_file(path)
+        self.normalised, self.split = rules.normalizer.normalize_str, rules.pre_tokenizer.pre_tokenize_str
 
-    def pieces(self, text: str) -> list[str]:
+    def _proposer(self, end: str):
+        """tiktoken on the same vocabulary, with the end of a word as a byte that no text has; it goes by merged tokens instead of pairs."""
+        import tiktoken
+
+        #: token -> its bytes, with END_BYTE for the end of a word
+        self.spelt = {i: bytes(self.byte_of[c] for c in (t.removesuffix(end) if end else t)) + END_BYTE * bool(end and t.endswith(end)) for t, i in self.vocab.items()}
+        ranks = {w: i for i, w in self.spelt.items()}
+        if len(ranks) < len(self.vocab) or any(bytes([b]) not in ranks for b in range(256)) or not end:
+            return None
+        return tiktoken.Encoding("words", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+
+    def pieces(self, text: str) -> list[bytes]:
         """Words in order; a special token stands as itself, led by a zero byte."""
         if "<|" in text and len(parts := self.cut.split(text)) > 1:
-            return [w for k, p in enumerate(parts) for w in (["\0" + p] if k % 2 else self._words(p))]
+            return [w for k, p in enumerate(parts) for w in ([b"\0" + p.encode()] if k % 2 else self._words(p))]
         return self._words(text)
 
-    def _words(self, text: str) -> list[str]:
-        text = unicodedata.normalize("NFC", text)
-        if "Σ" in text:  # the library lower-cases letter by letter, without a final sigma
-            text = text.replace("Σ", "σ")
-        return self.words_of(text.lower())
-
-    def merge(self, word: str) -> list[int]:
-        """Exact BPE of one word."""
-        if word[:1] == "\0" and word[1:] in self.special:
-            return [self.special[word[1:]]]
-        parts = [self.alphabet[b] for b in word.encode()]
-        parts[-1] += self.end
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(p, 1 << 60), k) for k, p in enumerate(zip(parts, parts[1:])))
-            if rank == 1 << 60:
+    def _words(self, text: str) -> list[bytes]:
+        byte_of = self.byte_of
+        return [bytes([byte_of[c] for c in w]) for w, _ in self.split(self.normalised(text))] if text else []
+
+    def words_of(self, token: bytes) -> list[bytes]:
+        """Words of a text without white space."""
+        if token.isalpha():  # true for ASCII letters only
+            return [token.lower()]
+        text = token.decode("utf-8", "surrogatepass")
+        if COMMON(text) and "<|" not in text:
+            return [w.encode() for w in COMMON_WORDS(text.lower())]
+        return self.pieces(text)
+
+    def merge(self, word: bytes) -> list[int]:
+        """Exact BPE of one word: of the pairs of least rank the leftmost is merged, again and again.
+
+        A faster merger proposes the tokens. They are right if and only if every two neighbours are what exact merging makes of
+        their own letters, since then no merge crosses a boundary; that is looked up for every two. Else the word is merged here."""
+        if word[:1] == b"\0" and (name := word[1:].decode()) in self.special:
+            return [self.special[name]]
+        if len(word) > LONG_WORD:
+            return self._merge_long(word)
+        if self.propose:
+            ids = self.propose(word + END_BYTE)
+            apart = self.apart
+            if all([apart[p] for p in zip(ids, ids[1:])]) if len(ids) > 1 else apart[ids[0], None]:
+                return ids
+        return [p for p in self.merged(self.symbols(word, True)) if p in self.known]
+
+    def symbols(self, word: bytes, ends: bool) -> list[int]:
+        parts = [self.inner[b] for b in word]
+        if ends:
+            parts[-1] = self.last[word[-1]]
+        return parts
+
+    def merged(self, parts: list[int]) -> list[int]:
+        merges, none = self.merges, 1 << 62
+        ranks = [merges.get(p, none) for p in zip(parts, parts[1:])]
+        while ranks:
+            least = min(ranks)
+            if least == none:
                 break
-            a, b, out, k = parts[at], parts[at + 1], [], 0
-            while k < len(parts):
-                if k + 1 < len(parts) and parts[k] == a and parts[k + 1] == b:
-                    out.append(a + b)
-                    k += 2
-                else:
-                    out.append(parts[k])
-                    k += 1
-            parts = out
-        return [self.vocab[p] for p in parts if p in self.vocab]
+            k = ranks.index(least)
+            parts[k : k + 2] = [least & 0xFFFFFFFF]
+            del ranks[k]
+            if k < len(ranks):
+                ranks[k] = merges.get((parts[k], parts[k + 1]), none)
+            if k:
+                ranks[k - 1] = merges.get((parts[k - 1], parts[k]), none)
+        return parts
+
+    def _merge_long(self, word: bytes) -> list[int]:
+        """The same through a heap of (rank, place) over a linked list; entries that no longer hold are skipped."""
+        merges, parts = self.merges, self.symbols(word, True)
+        n = len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(merges[p], k) for k, p in enumerate(zip(parts, parts[1:])) if p in merges]
+        heapq.heapify(heap)
+        while heap:
+            found, k = heapq.heappop(heap)
+            j = after[k]
+            if parts[k] < 0 or j >= n or merges.get((parts[k], parts[j])) != found:
+                continue
+            parts[k], parts[j] = found & 0xFFFFFFFF, -1
+            after[k] = after[j]
+            if after[j] < n:
+                before[after[j]] = k
+            for left, right in ((before[k], k), (k, after[k])):
+                if left >= 0 and right < n and (more := merges.get((parts[left], parts[right]))) is not None:
+                    heapq.heappush(heap, (more, left))
+        return [p for p in parts if p >= 0 and p in self.known]
 
     def decode(self, ids: list[int]) -> str:
         """As decode(ids, skip_special_tokens=False) without a decoder: the tokens joined by spaces."""
@@ -111,7 +205,9 @@ class Lexicon:
         for kind, n in (("<u4", n_states + 1), ("<u4", n_edges), ("<u4", n_edges), ("<u4", n_words + 1), ("<u4", n_ids), ("u1", n_states), ("u1", n_edges)):
             fields.append(np.frombuffer(buffer, kind, n, at))
             at += fields[-1].nbytes
-        self.first, self.target, self.left, self.ids_at, self.ids, self.final, self.label = fields
+        # plain memory views index faster than arrays; labels are searched in the buffer itself
+        self.first, self.target, self.left, self.ids_at, self.ids, self.final = (memoryview(f) for f in fields[:6])
+        self.buffer, self.labels_at = buffer, at - n_edges
 
     @classmethod
     def mapped(cls, data: bytes) -> Lexicon:
@@ -123,7 +219,7 @@ class Lexicon:
         return cls(view)
 
     @staticmethod
-    def compiled(words: dict[str, list[int]]) -> bytes:
+    def compiled(words: dict[bytes, list[int]]) -> bytes:
         """Sorted words, one by one; finished branches are replaced by equal ones seen before."""
         register: dict[tuple, int] = {}
         kept: list[tuple] = []  # (final, ((byte, state), ...)) of the registered states
@@ -139,8 +235,8 @@ class Lexicon:
                     kept.append(key)
                 path[-1][1][-1] = (path[-1][1][-1][0], register[key])
 
-        order = sorted((w.encode(), w) for w in words)
-        for data, _ in order:
+        order = sorted(words)
+        for data in order:
             common = len(os.path.commonprefix([last, data]))
             close(common)
             for b in data[common:]:
@@ -162,26 +258,26 @@ class Lexicon:
             count[k] = below
             first.append(len(label))
             final.append(int(end))
-        ids = [words[w] for _, w in order]
+        ids = [words[w] for w in order]
         at = np.cumsum([0, *map(len, ids)]).astype("<u4")
         flat = np.array([i for x in ids for i in x], "<u4")
         arrays = [np.array(first, "<u4"), np.array(target, "<u4"), np.array(left, "<u4"), at, flat, np.array(final, "u1"), np.array(label, "u1")]
         return struct.pack("<4I", len(label), len(kept), len(order), len(flat)) + b"".join(a.tobytes() for a in arrays)
 
-    def get(self, word: str) -> list[int] | None:
-        state, number = len(self.first) - 2, 0
-        for b in word.encode():
-            lo, hi = int(self.first[state]), int(self.first[state + 1])
-            k = bisect_left(self.label, b, lo, hi)
-            if k == hi or self.label[k] != b:
+    def get(self, word: bytes) -> list[int] | None:
+        first, find, base = self.first, self.buffer.find, self.labels_at
+        state, number = len(first) - 2, 0
+        for k in range(len(word)):
+            edge = find(word[k : k + 1], base + first[state], base + first[state + 1]) - base
+            if edge < 0:
                 return None
-            number += int(self.left[k])
-            state = int(self.target[k])
+            number += self.left[edge]
+            state = self.target[edge]
         return self.ids[self.ids_at[number] : self.ids_at[number + 1]].tolist() if self.final[state] else None
 
 
-def frequent_words(docs: DataFrame, path: str, limit: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent words of all documents; ties by word."""
+def frequent_words(docs: DataFrame, path: str, limit: int = LEXICON_WORDS) -> list[bytes]:
+    """The words of all documents that are at least as frequent as a count which no more than `limit` words reach."""
 
     def counted(batches):
         model, tokens = WordBpe(path), Counter()
@@ -189,7 +285,7 @@ def frequent_words(docs: DataFrame, path: str, limit: int = LEXICON_WORDS) -> li
         def counts():
             words = Counter()
             for token, n in tokens.items():
-                for w in model.pieces(token.decode("utf-8", "surrogatepass")):
+                for w in model.words_of(token):
                     words[w] += n
             return _counts(words)
 
@@ -197,21 +293,29 @@ def frequent_words(docs: DataFrame, path: str, limit: int = LEXICON_WORDS) -> li
             for t in b.column(0).to_pylist():
                 if t:
                     tokens.update(t.encode("utf-8", "surrogatepass").split())
-            if len(tokens) > 1_000_000:
-                yield counts()
-                tokens = Counter()
+                    if len(tokens) > 500_000:
+                        yield counts()
+                        tokens = Counter()
         yield counts()
 
     ship(docs.sparkSession)
-    rows = docs.select("text").mapInArrow(counted, "word string, n long")
-    top = rows.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(limit)
-    return [r.word for r in top.collect() if r.word]
+    rows = docs.select("text").mapInArrow(counted, "word binary, n long").filter(F.octet_length("word").between(1, MEMO_BYTES))
+    # steps of a sixteenth of a power of two: at most 1024 of them, whatever the corpus
+    step = F.floor(F.log2("n") * 16).cast("int")
+    words = written(rows.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1").select("word", step.alias("step")), "words")
+    total, least = 0, None
+    for r in sorted(words.groupBy("step").agg(F.count("*").alias("k")).collect(), key=lambda r: -r.step):
+        total += r.k
+        if total > limit:
+            break
+        least = r.step
+    return [] if least is None else [bytes(r.word) for r in words.filter(F.col("step") >= least).select("word").collect()]
 
 
 def _counts(words: Counter):
     import pyarrow as pa
 
-    return pa.RecordBatch.from_pydict({"word": pa.array(words.keys(), pa.string()), "n": pa.array(words.values(), pa.int64())})
+    return pa.RecordBatch.from_pydict({"word": pa.array(words.keys(), pa.binary()), "n": pa.array(words.values(), pa.int64())})
 
 
 def encode_documents(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
@@ -223,36 +327,39 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = True) -> DataF
     def make():
         model, known = WordBpe(path), Lexicon.mapped(lexicon.value)
 
-        def ids_of(token: bytes) -> list[int]:
-            out = []
-            for word in model.pieces(token.decode("utf-8", "surrogatepass")):
-                ids = known.get(word)
-                out += model.merge(word) if ids is None else ids
+        memo: dict[bytes, tuple[str, str]] = {}  # token -> how its ids and their decoding look
+        done: dict[bytes, tuple[str, str]] = {}  # the same of words, which many tokens share
+
+        def shown(word: bytes) -> tuple[str, str]:
+            ids = known.get(word)
+            if ids is None:
+                ids = model.merge(word)
+            out = " ".join(map(str, ids)), model.decode(ids)
+            if len(word) <= MEMO_BYTES:
+                if len(done) >= MEMO_WORDS:
+                    done.clear()
+                done[word] = out
             return out
 
-        silent = set()  # tokens without ids
-
-        class Shown(dict):
-            """What ids(token) looks like. A miss fills both views, so a token is looked up and merged once."""
-
-            def __missing__(self, token):
-                if len(self) >= MEMO_WORDS:
-                    shown.clear()
-                    decoded.clear()
-                ids = ids_of(token)
-                if not ids:
-                    silent.add(token)
-                shown[token], decoded[token] = " ".join(map(str, ids)), model.decode(ids)
-                return self[token]
+        def looked_up(token: bytes) -> tuple[str, str]:
+            found = [done.get(w) or shown(w) for w in model.words_of(token)]
+            if len(found) == 1:
+                out = found[0]
+            else:
+                found = [x for x in found if x[0]]  # some words have no ids
+                out = " ".join([x[0] for x in found]), " ".join([x[1] for x in found])
+            if len(token) <= MEMO_BYTES:
+                if len(memo) >= MEMO_WORDS:
+                    memo.clear()
+                memo[token] = out
+            return out
 
-        shown, decoded = Shown(), Shown()
+        get = memo.get
 
         def encoded(doc_id, text):
-            tokens = (text or "").encode("utf-8", "surrogatepass").split()
-            ids, back = list(map(shown.__getitem__, tokens)), list(map(decoded.__getitem__, tokens))
-            if silent:
-                ids, back = [x for x in ids if x], [x for x in back if x]
-            ids, back = " ".join(ids), " ".join(back)
+            found = [get(t) or looked_up(t) for t in (text or "").encode("utf-8", "surrogatepass").split()]
+            found = [x for x in found if x[0]]  # some tokens have no ids
+            ids, back = " ".join([x[0] for x in found]), " ".join([x[1] for x in found])
             out = (doc_id, ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
             yield (*out, list(map(int, ids.split()))) if with_ids else out
 
