@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -16,6 +18,7 @@ def ship(spark: SparkSession) -> None:
         return
     top = Path(__file__).resolve().parent.parent
     path = Path(tempfile.mkdtemp(prefix="tidewell-")) / "tidewell_package.zip"
+    atexit.register(shutil.rmtree, path.parent, True)  # the driver serves the file for as long as it lives
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(top.rglob("*.py")):
             z.write(f, f.relative_to(top.parent))
