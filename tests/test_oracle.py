@@ -10,9 +10,8 @@ def test_query_equals_sql(spark, sf_dir, duck, same, name):
     same(queries.QUERIES[name](spark, sf_dir), duck.sql(queries.SQL[name]))
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
-def test_other_queries_give_rows(spark, sf_dir, name):
-    assert queries.QUERIES[name](spark, sf_dir).count() > 0
+def test_every_query_has_sql():
+    assert set(queries.SQL) == set(queries.QUERIES)
 
 
 def test_entry(spark):
