@@ -26,13 +26,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, table, written
+from .common import fresh_path, map_rows, table, written
 
 UNIT = 64
 MIN_CHUNK, MAX_CHUNK = 2048, 32768
 #: A cut where these bits of the gear hash vanish: every 4096 samples on average.
 CUT_MASK = np.uint32(0xFFF00000)
 MAGIC = b"CDC1"
+#: Compression of payloads while they are shuffled and in the store.
+LEVEL = 9
 
 
 def gear_table() -> np.ndarray:
@@ -142,7 +144,7 @@ def write_media(docs: DataFrame) -> MediaStore:
     def packed():
         import zstandard
 
-        gear, squeeze = gear_table(), zstandard.ZstdCompressor(level=3)
+        gear, squeeze = gear_table(), zstandard.ZstdCompressor(level=LEVEL)
 
         def run(text):
             payload, n_bytes = payload_of(text)
@@ -172,7 +174,10 @@ def write_media(docs: DataFrame) -> MediaStore:
         return run
 
     schema = "media_id binary, stored binary, digests array<binary>, samples array<binary>, lent array<binary>, borrowed array<binary>"
-    return MediaStore(written(map_rows(joined, stores, schema), "media-store"), listed.select("doc_id", "media_id"))
+    spark, path = docs.sparkSession, fresh_path(docs.sparkSession, "media-store")
+    held = map_rows(joined, stores, schema)
+    held.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(LEVEL)).parquet(path)
+    return MediaStore(spark.read.schema(held.schema).parquet(path), listed.select("doc_id", "media_id"))
 
 
 def read_media(store: MediaStore) -> DataFrame:
