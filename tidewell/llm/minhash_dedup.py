@@ -86,17 +86,15 @@ def plausible(more: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_b: np.ndarr
     more, less: how many registers of a are above and below those of b. Under similarity J a register of a is
     above with probability p(u - vJ), below with p(v - uJ), where u and v are the shares of the set sizes.
     """
+    if len(more) > 4096:
+        cuts = range(4096, len(more), 4096)
+        return np.concatenate([plausible(*part, threshold) for part in zip(*(np.split(x, cuts) for x in (more, less, n_a, n_b)))])
     u, v = n_a / (n_a + n_b), n_b / (n_a + n_b)
-    best = np.full(len(u), -np.inf)
-    best_above = np.full(len(u), -np.inf)
-    for j in np.linspace(0.01, 0.999, 60).tolist() + [threshold]:
-        a, b = np.maximum(_p(np.maximum(u - v * j, 0)), 1e-9), np.maximum(_p(np.maximum(v - u * j, 0)), 1e-9)
-        ll = more * np.log(a) + less * np.log(b) + (REGISTERS - more - less) * np.log(np.maximum(1 - a - b, 1e-9))
-        ll = np.where(j <= np.minimum(n_a, n_b) / np.maximum(n_a, n_b) + 0.02, ll, -np.inf)
-        best = np.maximum(best, ll)
-        if j >= threshold:
-            best_above = np.maximum(best_above, ll)
-    return best_above >= best - SLACK
+    j = np.append(np.linspace(0.01, 0.999, 60), threshold)[:, None]  # similarities by pairs
+    a, b = np.maximum(_p(np.maximum(u - v * j, 0)), 1e-9), np.maximum(_p(np.maximum(v - u * j, 0)), 1e-9)
+    ll = more * np.log(a) + less * np.log(b) + (REGISTERS - more - less) * np.log(np.maximum(1 - a - b, 1e-9))
+    ll = np.where(j <= np.minimum(n_a, n_b) / np.maximum(n_a, n_b) + 0.02, ll, -np.inf)
+    return ll[j[:, 0] >= threshold].max(axis=0) >= ll.max(axis=0) - SLACK
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -286,6 +284,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
     final = written(components(links.union(more).union(own.select("rep", "doc_id").distinct())), "final")
     of_id = repeated.join(final.withColumnRenamed("node", "doc_id"), "doc_id").select("doc_id", F.col("comp").alias("of_id"))
     of_set = reps.select("same", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("comp", "rep").alias("component"))
+    of_set = written(of_set, "components-of-sets")  # so that large groups of copies can be split
     out = seen.select("doc_id", "n_shingles", "same").join(of_set, "same", "left")
     out = out.join(of_id, "doc_id", "left")
     component = F.coalesce("component", "of_id", "doc_id")
