@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import table, with_text_key, words, written
 
 #: Hash buckets: a power of two, of at least so many times the square root of the corpus's words (of six bytes); the least and the most,
-#: which bounds what is broadcast (the most is reached at about a terabyte of text).
-BUCKETS_A_ROOT, LEAST_BUCKETS, MOST_BUCKETS = 8, 1 << 15, 1 << 22
+#: which bounds what is broadcast (the most is reached at about 25 terabytes of text).
+BUCKETS_A_ROOT, LEAST_BUCKETS, MOST_BUCKETS = 2, 1 << 14, 1 << 22
 TARGET_DOCS = 50_000
 #: Weights are kept as multiples of 1 / SCALE.
 SCALE = 1 << 20
