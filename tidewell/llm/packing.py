@@ -93,7 +93,7 @@ def encoder(path: str):
         return np.array([i for w in words for i in merges._encode_single_piece(w)], "<u4").tobytes()
 
     def plain(text: str) -> bytes:
-        return new(text) if _NEW.search(text) else b"".join(map(get, find(text)))
+        return new(text) if not text.isascii() and _NEW.search(text) else b"".join(map(get, find(text)))
 
     def encode(text: str) -> bytes:
         if "<|" in text and len(parts := cut.split(text)) > 1:
