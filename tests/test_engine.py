@@ -1,10 +1,14 @@
 """Goldens, properties and faults of the time-series engine."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidewell.functions.checksum import checksum
 from tidewell.operators import codec, epoch, packing, recovery, scan, segments
@@ -80,6 +84,70 @@ def test_images_read_back_and_isolate_faults(spark):
     assert codec.read_images(bad_header).count() == 148
 
 
+class Mapped:
+    """Stands for a DataFrame: gives back the function that would run over its Arrow batches."""
+
+    schema = StructType([])
+
+    def __init__(self, spark):
+        self.sparkSession = spark
+
+    def select(self, *_):
+        return self
+
+    groupBy = agg = drop = select
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+def lanes_of(n):
+    """An Arrow batch of n blocks of 74 rows, as the encoder gets them."""
+    deltas, qvals = np.random.default_rng(n).integers(0, 256, (n, 74)), np.random.default_rng(n).integers(-32768, 32768, (n, 74))
+    deltas[:, 0] = 0
+    cols = {"series": pa.array([3] * n, pa.int32()), "blk": pa.array(range(n), pa.int64()), "cnt": pa.array([74] * n, pa.int64()), "t0_ms": pa.array([2**32 - 9] * n, pa.int64())}
+    cols |= {"dt_bits": pa.array([8] * n, pa.int32()), "bias": pa.array([1.2] * n, pa.float32()), "scale": pa.array([0.005] * n, pa.float32()), "last_event_id": pa.array(range(n), pa.int64())}
+    cols |= {"deltas": pa.array(deltas.tolist(), pa.list_(pa.int64())), "qvals": pa.array(qvals.tolist(), pa.list_(pa.int32()))}
+    return pa.RecordBatch.from_pydict(cols), deltas, qvals
+
+
+def peak_of(run, batch):
+    """Most memory that Python and NumPy hold while a batch is worked on."""
+    tracemalloc.start()
+    for _ in run(iter([batch])):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak
+
+
+def test_images_of_a_large_batch_take_no_more_memory(spark):
+    encode, decode, check = (f(Mapped(spark)) for f in (codec.block_images, codec.read_images, codec.checked))
+    small, large = (lanes_of(n)[0] for n in (2048, 8192))
+    pages = [pa.Table.from_batches(encode(iter([b]))).combine_chunks().to_batches()[0] for b in (small, large)]
+    assert [p.num_rows for p in pages] == [2048, 8192]
+    assert peak_of(encode, large) < 1.5 * peak_of(encode, small)
+    assert peak_of(decode, pages[1]) < 1.5 * peak_of(decode, pages[0])
+    assert peak_of(check, pages[1]) < 1.5 * peak_of(check, pages[0])
+
+
+def test_images_of_a_large_batch_read_back(spark):
+    batch, deltas, qvals = lanes_of(2500)
+    pages = pa.Table.from_batches(codec.block_images(Mapped(spark))(iter([batch])))
+    bad = {0: 40, 1024: 40, 1700: 223, 2499: 1}
+    payloads = [p[: bad[k]] + bytes([p[bad[k]] ^ 1]) + p[bad[k] + 1 :] if k in bad else p for k, p in enumerate(pages.column("payload").to_pylist())]
+    payloads[7] = payloads[7][:-1]  # a page that was cut off
+    pages = pages.set_column(pages.schema.get_field_index("payload"), "payload", pa.array(payloads, pa.binary())).combine_chunks().to_batches()
+    kept = [k for k in range(2500) if k not in {*bad, 7}]
+    assert np.flatnonzero(pa.Table.from_batches(codec.checked(Mapped(spark))(iter(pages))).column("ok").to_numpy()).tolist() == kept
+    rows = pa.Table.from_batches(codec.read_images(Mapped(spark))(iter(pages)))
+    got = {n: rows.column(n).to_numpy() for n in rows.schema.names}
+    assert got["blk"].tolist() == np.repeat(kept, 74).tolist() and got["row_in_blk"].tolist() == list(range(74)) * len(kept)
+    assert (got["series"] == 3).all() and (got["qval"] == qvals[kept].ravel()).all()
+    assert (got["ts_ms"] == ((2**32 - 9 + deltas.cumsum(1)) % 2**32)[kept].ravel()).all()
+    assert (got["decoded"] == np.float32(1.2) + np.float32(0.005) * qvals[kept].ravel().astype("f4")).all()
+
+
 def test_quantization_bounds(spark):
     rows = codec.with_values(packing.with_deltas(packing.fixed_blocks(frame(spark, [(1, i, v) for i, v in enumerate([2.5] * 56 + [-1, 1])]))))
     got = {(r.blk, r.qval, r.decoded) for r in rows.collect()}

@@ -8,8 +8,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.checksum import checksums
+from ..functions.checksum import checksums, each_checksum
 from ..functions.shipping import ship
+from ..plans.samples import U32
 from .packing import PAYLOAD
 
 #: Fixed values of the stored format.
@@ -17,6 +18,8 @@ BLOCK_MAGIC, FOOTER_MAGIC = 0x424C4B31, 0x53464731
 HEADER = struct.Struct("<IHHIB3sffI")
 FOOTER = struct.Struct("<IIIII32s")
 SNAPSHOT = struct.Struct("<5I")
+#: Blocks that a task encodes or decodes at a time, however many an Arrow batch holds.
+SLICE = 1024
 
 
 def _f(c: Column) -> Column:
@@ -95,12 +98,25 @@ def blank(page: bytes) -> bool:
     return not page.strip(b"\xff")
 
 
+def unpack_headers(images: list[bytes]) -> list[dict | None]:
+    """Fields of each image, or None where its magic or checksum is wrong."""
+    out = []
+    for image, crc in zip(images, each_checksum([i[:28] for i in images]).tolist()):
+        magic, series, count, t0, dt_bits, _, bias, scale, payload_crc = HEADER.unpack(image[:28])
+        good = magic == BLOCK_MAGIC and struct.unpack("<I", image[28:32])[0] == crc
+        out.append({"series": series, "cnt": count, "t0_ms": t0, "dt_bits": dt_bits, "bias": bias, "scale": scale, "payload_crc": payload_crc} if good else None)
+    return out
+
+
 def unpack_header(image: bytes) -> dict | None:
-    """Fields, or None where the magic or the checksum is wrong."""
-    magic, series, count, t0, dt_bits, _, bias, scale, payload_crc = HEADER.unpack(image[:28])
-    if magic != BLOCK_MAGIC or struct.unpack("<I", image[28:32])[0] != int(checksums(np.frombuffer(image[:28], "u1").reshape(1, -1))[0]):
-        return None
-    return {"series": series, "cnt": count, "t0_ms": t0, "dt_bits": dt_bits, "bias": bias, "scale": scale, "payload_crc": payload_crc}
+    return unpack_headers([image])[0]
+
+
+def sliced(batches):
+    """The rows of Arrow batches, SLICE at a time, so what Python makes of them doesn't grow with the batch."""
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
 
 
 def _sealed(body: bytes) -> bytes:
@@ -163,10 +179,9 @@ def checked(blocks: DataFrame) -> DataFrame:
     def check(batches):
         import pyarrow as pa
 
-        for b in batches:
-            heads = [unpack_header(h) for h in b.column("header").to_pylist()]
-            payloads = b.column("payload").to_pylist()
-            crcs = [int(checksums(np.frombuffer(p, "u1").reshape(1, -1))[0]) for p in payloads]
+        for b in sliced(batches):
+            heads = unpack_headers(b.column("header").to_pylist())
+            crcs = each_checksum(b.column("payload").to_pylist()).tolist()
             ok = pa.array([h is not None and h["payload_crc"] == c for h, c in zip(heads, crcs)], pa.bool_())
             yield pa.RecordBatch.from_arrays([*b.columns, ok], names=[*b.schema.names, "ok"])
 
@@ -202,10 +217,10 @@ def block_images(rows: DataFrame) -> DataFrame:
     def image(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in sliced(batches):
             get = {n: b.column(n).to_pylist() for n in b.schema.names}
             payloads = [encode_payload(d, x, q) for d, x, q in zip(get["dt_bits"], get["deltas"], get["qvals"])]
-            crcs = checksums(np.frombuffer(b"".join(payloads), "u1").reshape(-1, PAYLOAD)).tolist() if payloads else []
+            crcs = each_checksum(payloads).tolist()
             heads = pack_headers(*(get[n] for n in ("series", "cnt", "t0_ms", "dt_bits", "bias", "scale")), crcs)
             kept = [n for n in b.schema.names if n not in ("deltas", "qvals")]
             yield pa.RecordBatch.from_arrays(
@@ -226,18 +241,24 @@ def read_images(blocks: DataFrame) -> DataFrame:
     def read(batches):
         import pyarrow as pa
 
-        for b in batches:
-            out = []
-            for blk, head, payload in zip(*(b.column(n).to_pylist() for n in ("blk", "header", "payload"))):
-                h = unpack_header(head)
-                if h is None or int(checksums(np.frombuffer(payload, "u1").reshape(1, -1))[0]) != h["payload_crc"]:
-                    continue
-                delta, q = decode_payload(payload, h["dt_bits"], h["cnt"])
-                ts = (h["t0_ms"] + np.cumsum(delta, dtype="i8")) & 0xFFFFFFFF
-                value = np.float32(h["bias"]) + np.float32(h["scale"]) * q.astype("f4")
-                out += zip([h["series"]] * len(q), [blk] * len(q), range(len(q)), ts.tolist(), q.tolist(), value.tolist())
-            cols = list(zip(*out)) or [()] * 6
+        for b in sliced(batches):
+            payloads = b.column("payload").to_pylist()
+            heads, crcs = unpack_headers(b.column("header").to_pylist()), each_checksum(payloads).tolist()
+            good = [i for i, (h, c) in enumerate(zip(heads, crcs)) if h is not None and h["payload_crc"] == c]
+            if not good:
+                continue
+            lanes = [decode_payload(payloads[i], heads[i]["dt_bits"], heads[i]["cnt"]) for i in good]
+            counts = [len(q) for _, q in lanes]
+
+            def spread(name, kind):
+                return np.repeat(np.array([heads[i][name] for i in good], kind), counts)
+
+            q = np.concatenate([q for _, q in lanes])
+            row = np.concatenate([np.arange(n) for n in counts])
+            ts = (spread("t0_ms", "i8") + np.concatenate([np.cumsum(d, dtype="i8") for d, _ in lanes])) & U32
+            value = spread("bias", "f4") + spread("scale", "f4") * q.astype("f4")
+            cols = (spread("series", "i4"), b.column("blk").take(pa.array(np.repeat(good, counts))), row, ts, q, value)
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["series", "blk", "row_in_blk", "ts_ms", "qval", "decoded"])
+            yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(cols, kinds)], names=["series", "blk", "row_in_blk", "ts_ms", "qval", "decoded"])
 
     return blocks.select("blk", "header", "payload").mapInArrow(read, "series int, blk long, row_in_blk long, ts_ms long, qval int, decoded float")
