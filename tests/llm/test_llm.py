@@ -677,6 +677,23 @@ def test_repeated_windows_whose_hash_bits_clash(spark, monkeypatch, spare):
     assert got == {i: base_of(t)[4] for i, t in enumerate(texts)}
 
 
+def test_grams_are_compiled_and_those_of_the_lambdas(spark, odd):
+    docs = odd.select("text").withColumn("w", quality_rules.words(F.col("text"))).withColumn("rid", F.monotonically_increasing_id())
+    want = {r.rid: sorted(r.b) for r in docs.select("rid", quality_rules._buckets(F.col("w")).alias("b")).collect()}
+    rows = quality_rules.gram_rows(docs.drop("text"), quality_rules.LEAST_BUCKETS)
+    got = {}
+    for r in rows.collect():
+        got.setdefault(r.rid, []).extend(b for b in (r.one, r.two) if b is not None)
+    assert {k: sorted(v) for k, v in got.items()} == want
+    assert "lambda" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_are_split_at_just_the_six_white_space_bytes(spark):
+    texts = [None, "", " \t\n\x0b\x0c\r", "a", " a\u00a0b  c\r\nd\x0b\x0ce\tf ", "\x1c\x85\u2028x \x00 y"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", quality_rules.words(F.col("text")).alias("w")).collect()
+    assert [r.w for r in rows] == [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+
+
 def test_scores_against_brute_force(spark, sf_dir):
     """The hash of n-grams and ids is Spark's; counts, weights, scores, threshold and verdicts are worked out here."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))

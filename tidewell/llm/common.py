@@ -12,7 +12,6 @@ from ..sources.shared import delete, fresh_path, written  # noqa: F401
 
 #: The white space and letters that the contracts name.
 WS = " \t\n\x0b\x0c\r"
-WS_RE = r"[\x20\x09-\x0D]+"
 WORD_RE = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words that a hasher remembers, of at most so many bytes each.
@@ -31,8 +30,10 @@ def ascii_lower(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """Array of the words of a text; empty for null or blank texts."""
-    t = F.btrim(F.coalesce(c, F.lit("")), F.lit(WS))
-    return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(F.split(t, WS_RE))
+    t = F.coalesce(c, F.lit(""))
+    for space in WS[1:]:
+        t = F.replace(t, F.lit(space), F.lit(" "))
+    return F.array_remove(F.split(t, " "), "")  # one plain character is split at without a pattern
 
 
 def with_text_key(df: DataFrame) -> DataFrame:

@@ -44,22 +44,14 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SPARE_BITS = 0
 
 
-def _windows(w: Column, low: Column) -> Column:
-    """All 3-word windows as (hash, position) packed into one long, sorted; `low` has the bits of positions."""
-    return F.when(
-        F.size(w) >= 4,
-        F.sort_array(
-            F.transform(
-                F.sequence(F.lit(0), F.size(w) - 3),
-                lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")),
-            )
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
+def _hash(w: Column, i: Column) -> Column:
+    """Of the 3-word window at i; 63 bits, so that two hashes' exclusive or is never negative."""
+    return F.shiftrightunsigned(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), 1)
 
 
-def _alike(a: Column, b: Column, low: Column) -> Column:
-    """Whether two packed windows have the same hash bits."""
-    return F.coalesce(a.bitwiseOR(low) == b.bitwiseOR(low), F.lit(False))
+def _windows(hashes: Column, low: Column) -> Column:
+    """All windows as (hash, position) packed into one long, sorted; `low` has the bits of positions."""
+    return F.sort_array(F.transform(hashes, lambda h, i: h.bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long"))))
 
 
 def _same(w: Column, a: Column, b: Column, low: Column) -> Column:
@@ -80,14 +72,21 @@ def _repeated_exactly(w: Column) -> Column:
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """docs (with `w`, the words) and `starts`, the sorted positions of the 3-word windows that stand more than once. Hash bits
-    beside the position; where two windows have the same bits but other words, the words decide."""
-    out = docs.withColumn("low", F.expr(f"shiftleft(1L, length(bin(size(w))) + {SPARE_BITS}) - 1"))
-    out = out.withColumn("packed", _windows(F.col("w"), F.col("low")))
-    p, low, w = F.col("packed"), F.col("low"), F.col("w")
-    before = lambda x, i: (i > 0) & _alike(x, F.get(p, i - 1), low)
-    clash = F.exists(F.filter(p, lambda x, i: before(x, i) & ~_same(w, x, F.get(p, F.greatest(i - 1, F.lit(0))), low)), lambda x: F.lit(True))
-    fast = F.transform(F.filter(p, lambda x, i: before(x, i) | _alike(x, F.get(p, i + 1), low)), lambda x: x.bitwiseAND(low))
-    return out.withColumn("starts", F.sort_array(F.when(clash, _repeated_exactly(w)).otherwise(fast))).drop("low", "packed")
+    beside the position; where two windows have the same bits but other words, the words decide. Texts whose hashes all differ
+    have none and go no further. Lambdas are interpreted, so each walks over all windows as seldom and as plainly as can be."""
+    w, none = F.col("w"), F.array().cast("array<bigint>")
+    hashes = F.when(F.size(w) >= 4, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: _hash(w, i))).otherwise(none)
+    out = docs.withColumn("hashes", hashes).withColumn("low", F.expr(f"shiftleft(1L, length(bin(size(w))) + {SPARE_BITS}) - 1"))
+    h, p, low, later = F.col("hashes"), F.col("packed"), F.col("low"), F.col("later")
+    some = F.size(F.array_distinct(h)) < F.size(h)
+    out = out.withColumn("packed", F.when(some, _windows(h, low)).otherwise(none))
+    # places in `packed` of windows whose hash bits are those of the one before
+    alike = F.filter(F.sequence(F.lit(1), F.size(p) - 1), lambda k: F.get(p, k).bitwiseXOR(F.get(p, k - 1)) <= low)
+    out = out.withColumn("later", F.when(F.size(p) > 1, alike).otherwise(F.array().cast("array<int>")))
+    clash = F.exists(later, lambda k: ~_same(w, F.get(p, k - 1), F.get(p, k), low))
+    at = lambda k: F.get(p, k).bitwiseAND(low)
+    fast = F.array_distinct(F.concat(F.transform(later, at), F.transform(later, lambda k: at(k - 1))))
+    return out.withColumn("starts", F.sort_array(F.when(clash, _repeated_exactly(w)).otherwise(fast))).drop("hashes", "low", "packed", "later")
 
 
 def base_features(docs: DataFrame) -> DataFrame:
@@ -128,14 +127,29 @@ def buckets_for(docs: DataFrame) -> int:
     return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << math.ceil(math.log2(BUCKETS_A_ROOT * math.sqrt(n / 6 + 1)))))
 
 
+def _bucket(buckets: int, *words: Column) -> Column:
+    return F.pmod(F.xxhash64(*words), F.lit(buckets)).cast("int")
+
+
 def _buckets(w: Column, buckets: int = LEAST_BUCKETS) -> Column:
     """Hash buckets of all words and word pairs. `w` must be a column by itself: an expression would be
     evaluated anew for every word."""
-    one = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int"))
-    two = F.transform(w, lambda x, i: F.when(i > 0, F.pmod(F.xxhash64(F.get(w, i - 1), x), F.lit(buckets)).cast("int")))
+    one = F.transform(w, lambda x: _bucket(buckets, x))
+    two = F.transform(w, lambda x, i: F.when(i > 0, _bucket(buckets, F.get(w, i - 1), x)))
     return F.array_compact(F.concat(one, two))
 
 
+def gram_rows(docs: DataFrame, buckets: int) -> DataFrame:
+    """docs (with `w`, the words): instead of `w` a row per word with `one`, its bucket, and `two`, that of the pair it ends, or
+    null. One row with two nulls where there are no words. The same buckets as `_buckets`, in compiled code."""
+    w, rest = F.col("w"), [F.col(f"`{c}`") for c in docs.columns if c != "w"]
+    before = F.slice(F.concat(F.array(F.lit(None).cast("string")), w), F.lit(1), F.size(w))
+    rows = docs.select(*rest, F.inline_outer(F.arrays_zip(before.alias("before_"), w.alias("word_"))))
+    one = F.when(F.col("word_").isNotNull(), _bucket(buckets, F.col("word_")))
+    two = F.when(F.col("before_").isNotNull(), _bucket(buckets, F.col("before_"), F.col("word_")))
+    return rows.select(*rest, one.alias("one"), two.alias("two"))
+
+
 def judged(labels: DataFrame) -> DataFrame:
     """label_id, fits (makes the target, or is held out), kind (1: trusted, 0: of quality 0, else null)."""
     good = F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))
@@ -172,8 +186,8 @@ def bucket_weights(docs: DataFrame, labels: DataFrame, buckets: int) -> DataFram
     grams = (
         docs.join(ids, docs["doc_id"] == ids["trusted_id"], "left")
         .select(F.col("trusted_id").isNotNull().cast("long").alias("t"), words(F.col("text")).alias("w"))
-        .select("t", F.explode(_buckets(F.col("w"), buckets)).alias("bucket"))
     )
+    grams = gram_rows(grams, buckets).select("t", F.explode(F.array("one", "two")).alias("bucket")).filter("bucket is not null")
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
     counts = written(counts, "gram-counts")
     raw, target = counts.agg(F.sum("raw"), F.sum("target")).first()
@@ -189,14 +203,12 @@ def scored(docs: DataFrame, labels: DataFrame, carry: list[str]) -> DataFrame:
     buckets = buckets_for(docs)
     weights = F.broadcast(bucket_weights(docs.select("doc_id", "text"), labels, buckets))  # at most MOST_BUCKETS rows of 12 bytes
     base = base_features(docs.select(*carry, F.col("doc_id").cast("long"), "text")).drop("text").withColumn("rid", F.monotonically_increasing_id())
-    grams = base.select(
-        *[c for c in base.columns if c not in ("w", "filled", "starts")],
-        F.explode_outer(_buckets(F.col("w"), buckets)).alias("bucket"),
-    )
-    keys = [c for c in grams.columns if c != "bucket"]
-    out = grams.join(weights, "bucket", "left").groupBy(*keys).agg(
-        F.coalesce(F.sum("weight"), F.lit(0)).alias("total"), F.count("bucket").alias("grams")
-    )
+    grams = gram_rows(base, buckets)
+    keys = ["rid", *(c for c in base.columns if c not in ("w", "rid"))]
+    for n in ("one", "two"):
+        grams = grams.join(weights.select(F.col("bucket").alias(n), F.col("weight").alias(f"weight_{n}")), n, "left")
+    total = sum((F.coalesce(f"weight_{n}", F.lit(0)) for n in ("one", "two")), F.lit(0))
+    out = grams.groupBy(*keys).agg(F.sum(total).alias("total"), (F.count("one") + F.count("two")).alias("grams"))
     out = written(out.withColumn("score", F.col("total") / SCALE / F.greatest("grams", F.lit(1))).drop("rid"), "scores")
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= best_threshold(out, labels)))
 
