@@ -438,6 +438,28 @@ def test_greedy_factors_cover_just_the_repeated_windows():
         assert gone == want and [f[0] for f in found] == sorted(f[0] for f in found)
 
 
+def test_words_are_hashed_by_their_bytes_alone(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "PIECE", 64)
+    rng, hasher = np.random.default_rng(3), substring_dedup.WordHasher()
+    words = [bytes(rng.integers(33, 256, n).tolist()) for n in [1, 1, 2, 63, 64, 65, 66, 200, *rng.integers(1, 12, 300)]] + [b"ab", b"ba", b"\0", b"\0\0"]
+    alone = {w: hasher([w]).tolist() for w in words}
+    assert all(len(h) == 1 for h in alone.values()) and len({h[0] for h in alone.values()}) == len(alone)
+    for _ in range(5):
+        rng.shuffle(words)
+        assert hasher(words).tolist() == [alone[w][0] for w in words]
+        assert hasher.of(b" ".join(words)).tolist() == hasher(words).tolist()
+    assert hasher([]).tolist() == []
+
+
+@pytest.mark.parametrize("values", [3, 1 << 60])
+def test_entries_are_the_least_of_a_stretch(values):
+    rng = np.random.default_rng(7)
+    for n in (5, 6, 9, 40):
+        runs = rng.integers(0, values, n).astype("u8")
+        want = {i for j in range(n - 4) for i in range(j, j + 5) if runs[i] == runs[j : j + 5].min()}
+        assert substring_dedup.index_places(runs, 5).tolist() == sorted(want)
+
+
 def test_factors_name_their_source(spark):
     shared = [f"s{i}" for i in range(300)]
     docs = [(d, " ".join([f"d{d}_{i}" for i in range(50 + d)] + shared[10 * d :] + [f"e{d}_{i}" for i in range(9)])) for d in range(6)]

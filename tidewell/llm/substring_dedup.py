@@ -3,9 +3,12 @@
 Every text is cut into reference blocks of `PASSAGE` words (and the words that its last windows need). The index
 names, for a window of 35 words (128-bit hash), the least and the greatest block in which it starts anywhere. Only windows
 near a shared entry are indexed: entries are the winnowed hashes of 18-word runs (in each stretch of 18 successive
-runs the least hash, the last of equals), a window holds exactly one such stretch, so equal windows share an entry at the
+runs the least hash, all of equals), a window holds exactly one such stretch, so equal windows share an entry at the
 same place and no repeated window is missed.
 
+Words are hashed all at once: a text's words are joined by single spaces, prefix sums of its bytes' numbers times powers of an odd
+base are taken, and a word's hash is the difference at its ends times the power that moves it to the front.
+
 A document is joined to the blocks that the index names for its windows: to a block other than the one the window stands
 in, where there is one. Its words are then parsed greedily: at each place the longest match of at least 35 words in those
 blocks, compared word by word and not with itself, becomes a factor. The next place looked at is the first window
@@ -26,16 +29,21 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHasher, map_rows, mix, table, with_text_key, written
+from .common import map_rows, mix, table, with_text_key, written
 
 MIN_WORDS = 35
 #: Words of a reference block. Words that one more window each would need are stored with it.
 PASSAGE = 128
 _U = np.uint64
 _P1, _P2 = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
+#: Bytes hashed at a time, cut between words, and the longest word that is hashed so.
+PIECE = 1 << 16
+_BYTES = mix(np.arange(1, 257, dtype="u8") * _P1)
+_THERE, _BACK = (np.concatenate([np.ones(1, "u8"), np.cumprod(np.full(PIECE, x, "u8"))]) for x in (_P2, _U(pow(int(_P2), -1, 1 << 64))))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -43,6 +51,37 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
+def bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First and end places of the words of a text that single spaces join."""
+    spaces = np.flatnonzero(np.frombuffer(text, "u1") == 32)
+    return np.concatenate([[0], spaces + 1]), np.concatenate([spaces, [len(text)]])
+
+
+class WordHasher:
+    """Words -> 64-bit hashes, which depend on a word's bytes alone."""
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        return self.of(b" ".join(words))
+
+    def of(self, text: bytes) -> np.ndarray:
+        """Of the words of a text that single spaces join."""
+        out, at = [], 0
+        while at < len(text):
+            end = len(text) if len(text) - at <= PIECE else text.rfind(b" ", at, at + PIECE + 1)
+            if end < 0:  # a longer word
+                end = text.find(b" ", at)
+                end = len(text) if end < 0 else end
+                out.append(np.array([xxhash.xxh64_intdigest(memoryview(text)[at:end])], "u8"))
+            else:
+                piece = text[at:end]
+                first, last = bounds(piece)
+                sums = np.zeros(len(piece) + 1, "u8")
+                np.cumsum(_BYTES[np.frombuffer(piece, "u1")] * _THERE[: len(piece)], out=sums[1:])
+                out.append(mix((sums[last] - sums[first]) * _BACK[first]))
+            at = end + 1
+        return out[0] if len(out) == 1 else np.concatenate([np.zeros(0, "u8"), *out])
+
+
 def run_hashes(words: np.ndarray, k: int, base: np.uint64) -> np.ndarray:
     """Hash of every run of k words: a polynomial, built from runs of powers of two."""
     power, span, runs, done, out = base, 1, words, 0, None
@@ -57,10 +96,19 @@ def run_hashes(words: np.ndarray, k: int, base: np.uint64) -> np.ndarray:
         power, span = _U(int(power) ** 2 & 0xFFFFFFFFFFFFFFFF), span * 2
 
 
+def _sliding(x: np.ndarray, k: int, least: np.ufunc) -> np.ndarray:
+    """Least (or greatest) of every k successive numbers, from those of powers of two."""
+    span = 1
+    while span * 2 <= k:
+        x, span = least(x[: len(x) - span], x[span:]), span * 2
+    return least(x[: len(x) - (k - span)], x[k - span :])
+
+
 def index_places(runs: np.ndarray, stretch: int) -> np.ndarray:
-    """Places of the winnowed entries."""
-    view = np.lib.stride_tricks.sliding_window_view(runs[::-1], stretch)
-    return np.unique(len(runs) - 1 - (view.argmin(axis=1) + np.arange(len(view))))
+    """Places of the winnowed entries: those that are the least of a stretch that holds them."""
+    least = np.zeros(len(runs) + stretch - 1, "u8")
+    least[stretch - 1 : len(runs)] = _sliding(runs, stretch, np.minimum)
+    return np.flatnonzero(_sliding(least, stretch, np.maximum) == runs)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -81,12 +129,15 @@ def greedy_factors(words: list[bytes], blocks: list[tuple[int, list[bytes]]], ha
     n = len(words) - window + 1
     if n < 1 or not blocks:
         return []
-    mine = hasher(words)
-    theirs = [hasher(r) for _, r in blocks]
-    keys = [run_hashes(h, window, _P1) if len(h) >= window else np.zeros(0, "u8") for h in theirs]
-    block = np.repeat(np.arange(len(blocks)), [len(k) for k in keys])
-    place = np.concatenate([np.arange(len(k)) for k in keys])
-    keys = np.concatenate(keys)
+    mine, theirs = hasher(words), hasher([w for _, r in blocks for w in r])
+    if len(theirs) < window:
+        return []
+    sizes = np.array([len(r) for _, r in blocks])
+    start = np.cumsum(sizes) - sizes
+    block = np.repeat(np.arange(len(blocks)), sizes)
+    place = np.arange(len(theirs)) - start[block]
+    whole = np.flatnonzero(place <= sizes[block] - window)  # windows within one block
+    block, place, keys = block[whole], place[whole], run_hashes(theirs, window, _P1)[whole]
     order = np.argsort(keys, kind="stable")
     own = run_hashes(mine, window, _P1)
     low, high = np.searchsorted(keys[order], own, "left"), np.searchsorted(keys[order], own, "right")
@@ -101,7 +152,7 @@ def greedy_factors(words: list[bytes], blocks: list[tuple[int, list[bytes]]], ha
             most = min(len(words) - s, len(r) - t)
             if most <= best[0] or base >= 0 and base + t == s:
                 continue
-            same = mine[s : s + most] == theirs[b][t : t + most]
+            same = mine[s : s + most] == theirs[start[b] + t : start[b] + t + most]
             long = most if same.all() else int(same.argmin())
             if words[s : s + long] != r[t : t + long]:  # words whose hashes clash
                 long = next(i for i in range(long) if words[s + i] != r[t + i])
@@ -126,12 +177,12 @@ def parsed(docs: DataFrame, window: int = MIN_WORDS, with_text: bool = False) ->
         hasher = WordHasher()
 
         def go(text, c1, c2):
-            w = words_of(text)
-            entries = np.zeros(0, "i8")
-            if len(w) >= window:
-                runs = run_hashes(hasher(w), run, _P1)
+            joined = b" ".join(words_of(text))
+            h, entries = hasher.of(joined), np.zeros(0, "i8")
+            if len(h) >= window:
+                runs = run_hashes(h, run, _P1)
                 entries = _signed(runs[index_places(runs, stretch)])
-            yield c1, c2, len(w), hashlib.sha256(b" ".join(w)).hexdigest(), entries
+            yield c1, c2, len(h), hashlib.sha256(joined).hexdigest(), entries
 
         return go
 
@@ -152,19 +203,19 @@ def parsed(docs: DataFrame, window: int = MIN_WORDS, with_text: bool = False) ->
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=3)
-        return lambda text, c1, c2: iter([(c1, c2, squeeze.compress((text or "").encode("utf-8", "surrogatepass")))])
+        return lambda text, c1, c2: iter([(c1, c2, squeeze.compress(b" ".join(words_of(text))))])
 
     texts = map_rows(keyed, squeezed, "c1 long, c2 long, z binary").groupBy("c1", "c2").agg(F.first("z").alias("z"))
     open_ = written(texts.join(touched, ["c1", "c2"]), "touched")
 
     def near(h, entries):
         """Starts of the windows around the entries."""
-        runs = _signed(run_hashes(h, run, _P1))
-        at = np.flatnonzero(np.isin(runs, np.array(entries, "i8")))
-        mark = np.zeros(len(h) + 1, "i4")
-        np.add.at(mark, np.maximum(at - (stretch - 1), 0), 1)
-        np.add.at(mark, np.minimum(at, len(h) - window) + 1, -1)
-        return np.flatnonzero(np.cumsum(mark)[: len(h) - window + 1] > 0)
+        runs = run_hashes(h, run, _P1)
+        at = index_places(runs, stretch)
+        at = at[np.isin(_signed(runs[at]), np.array(entries, "i8"))]
+        opened = np.bincount(np.maximum(at - (stretch - 1), 0), minlength=len(h) + 1)
+        closed = np.bincount(np.minimum(at, len(h) - window) + 1, minlength=len(h) + 1)
+        return np.flatnonzero(np.cumsum(opened - closed)[: len(h) - window + 1] > 0)
 
     def windowed():
         import zstandard
@@ -172,7 +223,7 @@ def parsed(docs: DataFrame, window: int = MIN_WORDS, with_text: bool = False) ->
         hasher, expand = WordHasher(), zstandard.ZstdDecompressor()
 
         def go(c1, copies, z, entries):
-            h = hasher(expand.decompress(z).split())
+            h = hasher.of(expand.decompress(z))
             s = near(h, entries)
             one, two = run_hashes(h, window, _P1)[s], run_hashes(h, window, _P2)[s]
             yield c1, copies, _signed(one), _signed(two), block_ids(c1, s // PASSAGE)
@@ -196,11 +247,13 @@ def parsed(docs: DataFrame, window: int = MIN_WORDS, with_text: bool = False) ->
         hasher, expand, squeeze = WordHasher(), zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
 
         def go(c1, c2, z, entries):
-            w = expand.decompress(z).split()
-            numbers = np.unique(near(hasher(w), entries) // PASSAGE)
+            text = expand.decompress(z)
+            first, last = bounds(text)
+            numbers = np.unique(near(hasher.of(text), entries) // PASSAGE)
             for k, block in zip(numbers.tolist(), block_ids(c1, numbers).tolist()):
                 at = k * PASSAGE
-                yield block, c1, c2, at, squeeze.compress(b" ".join(w[at : at + PASSAGE + window - 1]))
+                end = min(at + PASSAGE + window - 1, len(last))
+                yield block, c1, c2, at, squeeze.compress(text[first[at] : last[end - 1]])
 
         return go
 
