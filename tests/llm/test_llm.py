@@ -262,6 +262,29 @@ def test_lexicon_is_minimal_and_exact():
 # 4 packing
 
 
+def test_lookups_are_kept_from_task_to_task_within_bounds(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_WORDS", 8)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    model = bpe.WordBpe(path)
+    words = [b"the", b"cat", b"naiv", b"zzxqv"]
+
+    class Sent:
+        value = bpe.Lexicon.compiled({w: model.merge(w) for w in words[:2]})
+
+    first = bpe.encoder(path, "one", Sent)
+    assert bpe.encoder(path, "one", Sent) is first and bpe.model_of(path) is first.model
+    library = Tokenizer.from_file(path)
+    texts = [*(w.decode() for w in words), "The", "cat's", "\u0130x", "\u200b", "d" * 200, *(f"w{i}" for i in range(30)), "the"]
+    for _ in range(2):
+        for t in texts:
+            ids = library.encode(t, add_special_tokens=False).ids
+            assert first.tokens[t.encode()] == (" ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False)), t
+            for memo in (first.words, first.tokens):
+                assert len(memo) <= 4 and len(memo.older) <= 4 and all(len(w) <= bpe.MEMO_BYTES for w in (*memo, *memo.older))
+    other = bpe.encoder(path, "two", Sent)
+    assert other is not first and list(bpe._ENCODERS.values()) == [other]
+
+
 def test_packing_places_every_token_once(spark, odd):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rows = packing.pack(odd, public_tokenizers.path("byte_bpe_50k.json")).collect()

@@ -6,7 +6,8 @@ the number of words left of it, so a path adds up to the word's number, which se
 one flat buffer: a broadcast of bounded size (`LEXICON_WORDS` words) that each worker memory-maps. Words
 that it doesn't hold are merged exactly, pair by pair in rank order.
 
-No word crosses ASCII white space, so texts are split there first and each different token is looked up once per task.
+No word crosses ASCII white space, so texts are split there first and each different token is looked up once; a worker process keeps
+its model and what it looked up from task to task, in two generations of bounded size: the newer one takes what is used.
 Tokens of ASCII and other common Latin letters, digits and signs, which the normaliser only lower-cases, are split here; all others go
 through the vocabulary file's normaliser and word pattern as the library has them, so both know the same characters.
 
@@ -20,6 +21,7 @@ Defined cases
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import map_rows, ship, table, written
 
 LEXICON_WORDS = 50_000
-#: Entries of a worker's memos of finished words and tokens, of at most so many bytes each; they are emptied when full.
+#: Entries of a worker's memos of finished words and tokens, of at most so many bytes each; when half of them are new, the older go.
 MEMO_WORDS, MEMO_BYTES = 600_000, 64
 #: Texts whose characters are all common, and their words once they are in lower case: the file's pattern for just these characters.
 COMMON = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+").fullmatch
@@ -71,6 +73,22 @@ class Apart(dict):
         return out
 
 
+class Memo(dict):
+    """word -> make(word); those used lately are remembered, at most `MEMO_WORDS` of at most `MEMO_BYTES` bytes."""
+
+    def __init__(self, make):
+        self.make, self.older = make, {}
+
+    def __missing__(self, word: bytes):
+        out = self.older.get(word) or self.make(word)
+        if len(word) <= MEMO_BYTES:
+            if len(self) >= MEMO_WORDS // 2:
+                self.older = dict(self)
+                self.clear()
+            self[word] = out
+        return out
+
+
 class WordBpe:
     """The vocabulary file's model: normaliser, word pattern, merges."""
 
@@ -205,9 +223,11 @@ class Lexicon:
         for kind, n in (("<u4", n_states + 1), ("<u4", n_edges), ("<u4", n_edges), ("<u4", n_words + 1), ("<u4", n_ids), ("u1", n_states), ("u1", n_edges)):
             fields.append(np.frombuffer(buffer, kind, n, at))
             at += fields[-1].nbytes
-        # plain memory views index faster than arrays; labels are searched in the buffer itself
-        self.first, self.target, self.left, self.ids_at, self.ids, self.final = (memoryview(f) for f in fields[:6])
-        self.buffer, self.labels_at = buffer, at - n_edges
+        # plain memory views index faster than arrays
+        self.first, _, _, self.ids_at, self.ids, self.final = (memoryview(f) for f in fields[:6])
+        # (state, byte) -> words left of the edge and its target, as one number each: an edge is found at once
+        state = np.repeat(np.arange(n_states, dtype="i8"), np.diff(fields[0].astype("i8")))
+        self.edges = dict(zip((state << 8 | fields[6]).tolist(), (fields[2].astype("i8") << 32 | fields[1]).tolist()))
 
     @classmethod
     def mapped(cls, data: bytes) -> Lexicon:
@@ -265,14 +285,12 @@ class Lexicon:
         return struct.pack("<4I", len(label), len(kept), len(order), len(flat)) + b"".join(a.tobytes() for a in arrays)
 
     def get(self, word: bytes) -> list[int] | None:
-        first, find, base = self.first, self.buffer.find, self.labels_at
-        state, number = len(first) - 2, 0
-        for k in range(len(word)):
-            edge = find(word[k : k + 1], base + first[state], base + first[state + 1]) - base
-            if edge < 0:
+        edge, state, number = self.edges.get, len(self.first) - 2, 0
+        for b in word:
+            if (to := edge(state << 8 | b)) is None:
                 return None
-            number += self.left[edge]
-            state = self.target[edge]
+            number += to >> 32
+            state = to & 0xFFFFFFFF
         return self.ids[self.ids_at[number] : self.ids_at[number + 1]].tolist() if self.final[state] else None
 
 
@@ -280,12 +298,12 @@ def frequent_words(docs: DataFrame, path: str, limit: int = LEXICON_WORDS) -> li
     """The words of all documents that are at least as frequent as a count which no more than `limit` words reach."""
 
     def counted(batches):
-        model, tokens = WordBpe(path), Counter()
+        model, tokens = model_of(path), Counter()
 
         def counts():
             words = Counter()
             for token, n in tokens.items():
-                for w in model.words_of(token):
+                for w in [token.lower()] if token.isalpha() else model.words_of(token):
                     words[w] += n
             return _counts(words)
 
@@ -318,48 +336,67 @@ def _counts(words: Counter):
     return pa.RecordBatch.from_pydict({"word": pa.array(words.keys(), pa.binary()), "n": pa.array(words.values(), pa.int64())})
 
 
+@functools.lru_cache(maxsize=1)
+def model_of(path: str) -> WordBpe:
+    """One a process: its tables take longer to build than many a task takes."""
+    return WordBpe(path)
+
+
+class Encoder:
+    """How the ids of words and tokens and their decoding look."""
+
+    def __init__(self, path: str, lexicon: bytes):
+        self.model, self.known = model_of(path), Lexicon.mapped(lexicon)
+        self.shown = {i: str(i) for i in self.model.tokens}
+        self.words, self.tokens = Memo(self._word), Memo(self._token)
+
+    def _word(self, word: bytes) -> tuple[str, str]:
+        ids = self.known.get(word)
+        if ids is None:
+            ids = self.model.merge(word)
+        shown, tokens = self.shown, self.model.tokens
+        return " ".join([shown[i] for i in ids]), " ".join([tokens[i] for i in ids])
+
+    def _token(self, token: bytes) -> tuple[str, str]:
+        if token.isalpha():  # one word, as in `words_of`
+            return self.words[token.lower()]
+        found = [self.words[w] for w in self.model.words_of(token)]
+        if len(found) == 1:
+            return found[0]
+        found = [x for x in found if x[0]]  # some words have no ids
+        return " ".join([x[0] for x in found]), " ".join([x[1] for x in found])
+
+
+#: The last encoder of this process, by vocabulary file and digest of its lexicon.
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
+
+def encoder(path: str, digest: str, lexicon) -> Encoder:
+    """That of a broadcast lexicon."""
+    found = _ENCODERS.get((path, digest))
+    if found is None:
+        _ENCODERS.clear()
+        found = _ENCODERS[path, digest] = Encoder(path, lexicon.value)
+    return found
+
+
 def encode_documents(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
     """doc_id, ids (optional), n_tokens, ids_sha256, decoded_sha256 of every row."""
-    model = WordBpe(path)
+    model = model_of(path)
     words = {w: model.merge(w) for w in frequent_words(docs, path)}
-    lexicon = docs.sparkSession.sparkContext.broadcast(Lexicon.compiled(words))
+    data = Lexicon.compiled(words)
+    lexicon, digest = docs.sparkSession.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest()
 
     def make():
-        model, known = WordBpe(path), Lexicon.mapped(lexicon.value)
-
-        memo: dict[bytes, tuple[str, str]] = {}  # token -> how its ids and their decoding look
-        done: dict[bytes, tuple[str, str]] = {}  # the same of words, which many tokens share
-
-        def shown(word: bytes) -> tuple[str, str]:
-            ids = known.get(word)
-            if ids is None:
-                ids = model.merge(word)
-            out = " ".join(map(str, ids)), model.decode(ids)
-            if len(word) <= MEMO_BYTES:
-                if len(done) >= MEMO_WORDS:
-                    done.clear()
-                done[word] = out
-            return out
-
-        def looked_up(token: bytes) -> tuple[str, str]:
-            found = [done.get(w) or shown(w) for w in model.words_of(token)]
-            if len(found) == 1:
-                out = found[0]
-            else:
-                found = [x for x in found if x[0]]  # some words have no ids
-                out = " ".join([x[0] for x in found]), " ".join([x[1] for x in found])
-            if len(token) <= MEMO_BYTES:
-                if len(memo) >= MEMO_WORDS:
-                    memo.clear()
-                memo[token] = out
-            return out
-
-        get = memo.get
+        look_up = encoder(path, digest, lexicon).tokens.__getitem__
 
         def encoded(doc_id, text):
-            found = [get(t) or looked_up(t) for t in (text or "").encode("utf-8", "surrogatepass").split()]
-            found = [x for x in found if x[0]]  # some tokens have no ids
-            ids, back = " ".join([x[0] for x in found]), " ".join([x[1] for x in found])
+            found = list(map(look_up, (text or "").encode("utf-8", "surrogatepass").split()))
+            shown = [x[0] for x in found]
+            if "" in shown:  # some tokens have no ids
+                found = [x for x in found if x[0]]
+                shown = [x[0] for x in found]
+            ids, back = " ".join(shown), " ".join([x[1] for x in found])
             out = (doc_id, ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
             yield (*out, list(map(int, ids.split()))) if with_ids else out
 
